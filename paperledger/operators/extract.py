@@ -17,6 +17,7 @@ from paperledger.functions import text as X
 from paperledger.functions import values as V
 from paperledger.functions.answers import decode_answer, decode_json, only_printed, pair
 from paperledger.functions.vendors import SEED_VENDORS, match_literal
+from paperledger.plans.lineage import cut_lineage
 
 _PREFIX = "__x_"
 
@@ -170,6 +171,8 @@ def extract_bills(
     if isinstance(vendors, DataFrame):
         from paperledger.operators.vendors import resolve_vendors
 
+        # The picked names feed both sides of several joins: read the text once.
+        t = cut_lineage(t)
         t = resolve_vendors(t, _PREFIX + "picked", vendors, scope=scope, into=_PREFIX + "resolved")
     else:
         known = SEED_VENDORS if vendors is None else vendors
