@@ -259,8 +259,9 @@ _FRACTION = rf"(?is)\A.*?{CURRENCY_WORD}.*?{START}(?:AND\s+)?([A-Z]+)\s*(?:PAISA
 
 def number_word(token: Column) -> Column:
     """Value of a number word, allowing one wrong letter from three letters on."""
-    exact = F.create_map(*[F.lit(x) for w, v in NUMBER_WORDS.items() for x in (w, float(v))])[token]
-    words = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(float(v)).alias("v")) for w, v in NUMBER_WORDS.items()])
+    pairs = [(w, float(v)) for w, v in NUMBER_WORDS.items()]
+    exact = F.expr(f"map({', '.join(f'{w!r}, {v}D' for w, v in pairs)})")[token]
+    words = F.expr(f"array({', '.join(f'struct({w!r} as w, {v}D as v)' for w, v in pairs)})")
     near = F.filter(words, lambda x: F.levenshtein(x["w"], token, 1) == 1)
     return F.coalesce(exact, F.when(F.length(token) >= 3, F.get(near, F.lit(0))["v"]))
 
@@ -365,13 +366,17 @@ def without_word_amounts(text: Column) -> Column:
 
 
 def without_amount(text: Column, amount: Column) -> Column:
-    """Drop the first copy of the amount in either form and the currency words."""
+    """Drop the first copy of the amount in either form."""
     exact = F.concat(F.lit(r"(?i)\$?\s?"), F.replace(two_decimals(amount), F.lit("."), F.lit(r"\.")))
     short = F.concat(F.lit(r"(?i)\$?\s?"), number_text(amount))
-    out = replace_first(replace_first(text, exact), short)
-    out = replace_first(out, r"(?i)AUD\s*")
+    return F.when(amount.isNull(), text).otherwise(replace_first(replace_first(text, exact), short))
+
+
+def without_currency(text: Column, amount: Column) -> Column:
+    """Drop the first of each currency word from a text that has an amount."""
+    out = replace_first(text, r"(?i)AUD\s*")
     out = replace_first(out, rf"(?i){START}(?:Rs|INR)\.?\s*")
-    return F.when(amount.isNull(), text).otherwise(out)
+    return F.when(amount.isNotNull() & text.rlike("(?i)AUD|RS|INR"), out).otherwise(text)
 
 
 def without_category(text: Column, category: Column) -> Column:

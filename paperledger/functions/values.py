@@ -31,8 +31,14 @@ CITY_ZONES = {
 FOLD_FROM, FOLD_TO = "L0158", "IOISB"
 
 
-def literal_map(pairs: dict) -> Column:
-    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+def sql_text(value: str) -> str:
+    """A text value as a SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal_map(pairs: dict[str, str]) -> Column:
+    # One parsed expression instead of one driver call per literal.
+    return F.expr(f"map({', '.join(sql_text(x) for kv in pairs.items() for x in kv)})")
 
 
 def plain_blanks(text: Column) -> Column:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from paperledger.functions.values import FOLD_FROM, FOLD_TO, fold_case, fold_shapes
+from paperledger.functions.values import FOLD_FROM, FOLD_TO, fold_case, fold_shapes, sql_text
 
 # Vendor names known before anything is learned.
 SEED_VENDORS = [
@@ -45,16 +45,12 @@ def match_literal(name: Column, known: list[str]) -> Column:
     """The one nearest known name, or null when none or several are nearest."""
     if len(known) > MAX_LITERAL_VENDORS:
         raise ValueError("pass long vendor lists as a DataFrame")
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(k).alias("name"),
-                F.lit(_fold(k)).alias("folded"),
-                F.array(*[F.lit(w) for w in _shapes(k).split(" ")]).alias("words"),
-            )
-            for k in known
-        ]
-    )
+    entries = [
+        f"struct({sql_text(k)} as name, {sql_text(_fold(k))} as folded, "
+        f"array({', '.join(sql_text(w) for w in _shapes(k).split(' '))}) as words)"
+        for k in known
+    ]
+    table = F.expr(f"array({', '.join(entries)})")
 
     def near(folded: Column) -> Column:
         words = F.split(folded["shapes"], " ")

@@ -59,7 +59,8 @@ def read_fields(df: DataFrame, text: Column) -> DataFrame:
         X.first_readable(_c("amounts")),
     )
     t = _add(t, amount=amount)
-    t = _add(t, remainder=X.without_amount(X.without_word_amounts(_c("nodate")), _c("amount")))
+    t = _add(t, unpriced=X.without_amount(X.without_word_amounts(_c("nodate")), _c("amount")))
+    t = _add(t, remainder=X.without_currency(_c("unpriced"), _c("amount")))
     t = _add(t, stripped=X.without_category(_c("remainder"), _c("category")))
     rest = F.when(X.has_clean_word(_c("stripped")), _c("stripped")).otherwise(_c("remainder"))
     t = _add(t, rest=rest)

@@ -243,12 +243,12 @@ def manifest_pick(spark, d):
 # --- duplicates -------------------------------------------------------------
 
 _MATCHES = DUP + """,
-earlier as (select c.bill_id, p.bill_id as other, p.confirmed_at as at,
+earlier as (select c.bill_id, p.bill_id as other, p.confirmed_at as seen_at,
     case when p.invoice_number = c.invoice_number then 'invoice' else 'vendor_amount' end as matched_on
   from dup_ledger c join dup_ledger p on p.user_id = c.user_id and p.status in ('logged', 'paid')
     and (p.confirmed_at, p.bill_id) < (c.confirmed_at, c.bill_id) and p.confirmed_at >= c.confirmed_at - interval 90 day
     and (p.invoice_number = c.invoice_number or (p.vendor = c.vendor and p.amount = c.amount))),
-found as (select bill_id, arg_max(other, (at, other)) as duplicate_of, matched_on from earlier group by bill_id, matched_on),
+found as (select bill_id, arg_max(other, row(seen_at, other)) as duplicate_of, matched_on from earlier group by bill_id, matched_on),
 best as (select bill_id, arg_min(duplicate_of, matched_on) as duplicate_of, min(matched_on) as matched_on from found group by bill_id)
 """
 
@@ -298,10 +298,8 @@ resolved as (select bill_id, name from ranked where rn = 1 and n = 1)
 
 
 @query(TEXT + """
-select bill_id, amount, date, split_part(text, chr(10), 1) as vendor, gst_basis, gst,
-  case when vendor is null then 'partial' else 'high' end as gate
-from bill_text where vendor is not null
-union all select bill_id, amount, date, null, gst_basis, gst, 'partial' from bill_text where vendor is null""")
+select bill_id, amount, date, read_vendor as vendor, gst_basis, gst,
+  case when read_vendor is null then 'partial' else 'high' end as gate from bill_text""")
 def extracted_bills(spark, d):
     out = extract_bills(VW.bill_text(spark, d).select("bill_id", "text"), ocr_text=F.col("text"))
     e = F.col("extraction")
@@ -325,12 +323,12 @@ def amount_lines(spark, d):
     return t.select("bill_id", V.amount_line(F.col("text"), F.col("amount")).alias("line"))
 
 
-_WORDS = "list_filter(string_split_regex(text, '[\\s\\x0b]+'), x -> regexp_full_match(x, '[A-Za-z]+'))"
+_WORDS = "list_filter(string_split_regex(text, '[\\s\\x0b]+'), lambda x: regexp_full_match(x, '[A-Za-z]+'))"
 
 
 @query(f"""
 with w as (select doc_id, {_WORDS} as words from documents)
-select doc_id, len(words) >= 8 and len(list_filter(words, x -> len(x) <= 2)) * 2 >= len(words) as garbage from w""")
+select doc_id, len(words) >= 8 and len(list_filter(words, lambda x: len(x) <= 2)) * 2 >= len(words) as garbage from w""")
 def garbage_texts(spark, d):
     return VW.table(spark, d, "documents").select("doc_id", X.is_garbage(F.col("text")).alias("garbage"))
 
@@ -379,7 +377,7 @@ def date_guard_rate(spark, d):
 
 @query("""
 with n as (select c_custkey, cast(c_custkey * 7919 + 10000000000 as varchar) as abn, c_acctbal from customer),
-w as (select *, list_sum(list_transform(range(1, 12), i -> cast(substr(abn, cast(i as int), 1) as int) * [10,1,3,5,7,9,11,13,15,17,19][i])) - 10 as total from n)
+w as (select *, list_sum(list_transform(range(1, 12), lambda i: cast(substr(abn, cast(i as int), 1) as int) * [10,1,3,5,7,9,11,13,15,17,19][i])) - 10 as total from n)
 select c_custkey, total % 89 = 0 as abn_ok, floor((abs(c_acctbal) / 11 + 2.220446049250313e-16) * 100 + 0.5) / 100 as gst,
   case when c_acctbal < 0 then '-$' else '$' end || format('{:,.2f}', abs(c_acctbal)) as money from w""")
 def value_rules(spark, d):
@@ -433,8 +431,9 @@ def canonical_vendors(spark, d):
 
 @query(_RESOLVED + """
 select s.bill_id, s.amount, coalesce(r.name, split_part(text, chr(10), 1)) as vendor, r.name as vendor_resolved_to,
-  case when r.name is null then 1.0 else 0.9 end as confidence
-from seen s left join resolved r using (bill_id) union all select bill_id, amount, null, null, 0.0 from bill_text where vendor is null""")
+  case when r.name is null then 1.0::double else 0.9::double end as confidence
+from seen s left join resolved r using (bill_id) union all select bill_id, amount, read_vendor, null, case when read_vendor is null then 0.0::double else 1.0::double end
+from bill_text where vendor is null""")
 def extracted_with_learned_vendors(spark, d):
     known = VW.table(spark, d, "part").select(F.upper("p_name").alias("vendor")).distinct()
     texts = VW.bill_text(spark, d).select("bill_id", "text")
@@ -475,7 +474,7 @@ def _scored(spark, d):
         F.struct(
             F.when(key % 41 == 0, F.col("amount") + 1).otherwise(F.col("amount")).alias("amount"),
             F.when(key % 11 != 0, F.col("date")).alias("date"),
-            F.when(key % 13 == 0, F.lit("someone else")).otherwise(F.lower("vendor")).alias("vendor"),
+            F.when(key % 43 == 0, F.lit("someone else")).otherwise(F.lower("vendor")).alias("vendor"),
             F.col("gst").alias("gst"),
             F.col("gst_basis").alias("gst_basis"),
             F.lit(None).cast("string").alias("abn"),
@@ -497,9 +496,9 @@ def _scored(spark, d):
 _SCORED = TEXT + """,
 judged as (select bill_id as id, bill_id % 7 = 0 as hard, bill_id % 41 <> 0 as ok_amount,
     case when bill_id % 11 <> 0 then true end as ok_date,
-    case when vendor is null and bill_id % 13 <> 0 then null when bill_id % 13 = 0 then false
+    case when vendor is null and bill_id % 43 <> 0 then null when bill_id % 43 = 0 then false
       when bill_id % 3 = 0 then lower(split_part(text, chr(10), 1)) = lower(vendor) else true end as ok_vendor,
-    case when gst is not null then true end as ok_gst, vendor is not null as has_vendor from bill_text)
+    case when gst is not null then true end as ok_gst, read_vendor is not null as has_vendor from bill_text)
 """
 
 
@@ -560,7 +559,7 @@ def recommended_thresholds(spark, d):
 select count(*) filter (has_vendor) as high, count(*) filter (not has_vendor) as partial, 0::bigint as low from judged""")
 def gate_histogram(spark, d):
     out = extract_bills(VW.bill_text(spark, d).select("bill_id", "text"), ocr_text=F.col("text"))
-    counts = out.groupBy().pivot("gate", ["high", "partial", "low"]).agg(F.count("*"))
+    counts = out.groupBy().pivot("gate", ["high", "partial", "low"]).agg(F.count(F.lit(1)))
     return counts.na.fill(0)
 
 
@@ -790,14 +789,14 @@ def checked_edits(spark, d):
 
 
 @query(TEXT + """
-select bill_id, 'machine' as header, false as verify_amount, vendor is null as vendor_missing, false as offer_date_edit, true as abn_unverified from bill_text""")
+select bill_id, 'machine' as header, false as verify_amount, read_vendor is null as vendor_missing, false as offer_date_edit, true as abn_unverified from bill_text""")
 def confirm_flags(spark, d):
     out = extract_bills(VW.bill_text(spark, d).select("bill_id", "text"), ocr_text=F.col("text"))
     return L.confirm_flags(out).select("bill_id", "header", "verify_amount", "vendor_missing", "offer_date_edit", "abn_unverified")
 
 
 @query(TEXT + """
-select bill_id, 'logged' as status, amount, gst, 'misc' as category, case when vendor is not null then split_part(text, chr(10), 1) end as vendor from bill_text""")
+select bill_id, 'logged' as status, amount, gst, 'misc' as category, read_vendor as vendor from bill_text""")
 def confirmed_drafts(spark, d):
     out = extract_bills(VW.bill_text(spark, d).select("bill_id", "text"), ocr_text=F.col("text"))
     rows = out.withColumnRenamed("extraction", "raw_extraction")

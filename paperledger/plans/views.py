@@ -146,6 +146,9 @@ TEXT_SQL = (
     + """,
 bill_text as (select bill_id, user_id, upper(vendor) as vendor, cast(amount as double) as amount,
     strftime(confirmed_at, '%Y-%m-%d') as date, gst_basis, cast(gst as double) as gst,
+    -- What the rules read as vendor: the first line, or a lone word left over.
+    case when vendor is null then case when gst_basis = 'exclusive' then 'plus' end
+      when bill_id % 3 = 0 then translate(upper(vendor), 'I', 'l') else upper(vendor) end as read_vendor,
     concat_ws(chr(10), case when bill_id % 3 = 0 then translate(upper(vendor), 'I', 'l') else upper(vendor) end,
       'Date: ' || strftime(confirmed_at, '%d/%m/%Y'),
       printf('Subtotal: $%.2f', cast(floor(cast(amount as double) * 0.9::double) as double)),
