@@ -58,13 +58,10 @@ class Conversation:
         day = self.settings.undo_auto_hours * 60 * MINUTE
         self.bills = [b for b in self.bills if b["at"] >= now - day]
 
-    def next_timer(self) -> int | None:
-        times = []
-        for d in self.drafts:
-            if not d["nudged"] and d["flow_state"] != "queued":
-                times.append(d["created"] + self.settings.nudge_delay_minutes * MINUTE)
-            times.append(d["created"] + self.settings.draft_minutes * MINUTE)
-        return min(times) if times else None
+    def timers(self) -> list[int]:
+        """Every moment at which something happens to an open draft by itself."""
+        delays = (self.settings.nudge_delay_minutes, self.settings.draft_minutes)
+        return [d["created"] + delay * MINUTE for d in self.drafts for delay in delays]
 
     def handle(self, m: dict, first: bool) -> None:
         """Apply one message."""

@@ -166,7 +166,7 @@ class DraftProcessor(StatefulProcessor):
         self.before = ({d["draft_id"] for d in talk.drafts}, {b["draft_id"] for b in talk.bills})
         return talk
 
-    def _store(self, talk: Conversation) -> None:
+    def _store(self, talk: Conversation, now: int) -> None:
         for d in talk.drafts:
             value = tuple(d[n] for n in ["message", "created", "nudged", "flow_state", *DRAFT_FIELDS])
             self.drafts.updateValue((d["draft_id"],), value)
@@ -176,9 +176,10 @@ class DraftProcessor(StatefulProcessor):
             self.bills.updateValue((b["draft_id"],), (b["at"], b["auto"]))
         for gone in self.before[1] - {b["draft_id"] for b in talk.bills}:
             self.bills.removeKey((gone,))
-        timer = talk.next_timer()
-        if timer is not None:
-            self.handle.registerTimer(timer)
+        # All of them at once: one registered while timers fire waits for the next batch.
+        for moment in talk.timers():
+            if moment > now:
+                self.handle.registerTimer(moment)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         talk = self._load(key[0])
@@ -188,13 +189,14 @@ class DraftProcessor(StatefulProcessor):
             if first:
                 self.seen.update((True,))
             talk.handle(_plain(m), first)
-        self._store(talk)
+        self._store(talk, timerValues.getCurrentWatermarkInMs())
         yield _frame(talk.take())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         talk = self._load(key[0])
-        talk.advance(expiredTimerInfo.getExpiryTimeInMs())
-        self._store(talk)
+        moment = expiredTimerInfo.getExpiryTimeInMs()
+        talk.advance(moment)
+        self._store(talk, moment)
         yield _frame(talk.take())
 
     def close(self) -> None:
