@@ -52,21 +52,23 @@ def match_literal(name: Column, known: list[str]) -> Column:
     ]
     table = F.expr(f"array({', '.join(entries)})")
 
-    def near(folded: Column) -> Column:
-        words = F.split(folded["shapes"], " ")
+    def near(asked: Column) -> Column:
         scored = F.transform(
-            F.filter(table, lambda k: k["folded"] != folded["plain"]),
-            lambda k: F.struct(word_distance(words, k["words"]).alias("d"), k["name"].alias("name")),
+            F.filter(table, lambda k: k["folded"] != asked["plain"]),
+            lambda k: F.struct(word_distance(asked["words"], k["words"]).alias("d"), k["name"].alias("name")),
         )
         return F.filter(scored, lambda m: m["d"].isNotNull())
 
     def single(matches: Column) -> Column:
-        best = F.filter(matches, lambda m: m["d"] == F.array_min(matches)["d"])
-        return F.when(F.size(best) == 1, F.get(best, F.lit(0))["name"])
+        # Sorted by distance: the first is the answer unless the second ties with it.
+        first, second = F.get(matches, F.lit(0)), F.get(matches, F.lit(1))
+        return F.when(~F.coalesce(first["d"] == second["d"], F.lit(False)), first["name"])
 
     # One-element arrays bind each intermediate value once.
-    folded = F.array(F.struct(fold_case(name).alias("plain"), fold_shapes(name).alias("shapes")))
-    found = F.get(F.transform(F.transform(folded, near), single), F.lit(0))
+    words = F.split(fold_shapes(name), " ")
+    asked = F.array(F.struct(fold_case(name).alias("plain"), words.alias("words")))
+    ordered = F.transform(F.transform(asked, near), lambda m: F.array_sort(m))
+    found = F.get(F.transform(ordered, single), F.lit(0))
     return F.when(fold_case(name) != "", found)
 
 

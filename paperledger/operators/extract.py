@@ -64,8 +64,9 @@ def read_fields(df: DataFrame, text: Column) -> DataFrame:
     t = _add(t, stripped=X.without_category(_c("remainder"), _c("category")))
     rest = F.when(X.has_clean_word(_c("stripped")), _c("stripped")).otherwise(_c("remainder"))
     t = _add(t, rest=rest)
-    block = X.vendor_block(F.split(_c("nodate"), X.LINE_BREAK), F.split(_c("rest"), X.LINE_BREAK))
-    t = _add(t, block=block)
+    # A column of its own: an expression inside the walk would split the text per line.
+    t = _add(t, rest_lines=F.split(_c("rest"), X.LINE_BREAK))
+    t = _add(t, block=X.vendor_block(F.split(_c("nodate"), X.LINE_BREAK), _c("rest_lines")))
     picked = F.when(_c("block") != "", _c("block")).otherwise(
         F.nullif(F.array_join(X.clean_words(_c("rest")), " "), F.lit(""))
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperledger.functions.values import fold_case, fold_shapes
 from paperledger.functions.vendors import SEED_VENDORS, learnable, word_distance
+from paperledger.plans.lineage import cut_lineage
 
 
 def newest_logged_vendors(ledger: DataFrame, user: str = "user_id", n: int = 200) -> DataFrame:
@@ -76,6 +77,8 @@ def resolve_vendors(
     asked = asked.filter("folded <> ''")
     listed = prepared(known.select(*keys, "vendor").filter("vendor is not null").distinct(), "vendor")
 
+    # Both lists are distinct names only, and each feeds several joins below.
+    asked, listed = cut_lineage(asked), cut_lineage(listed)
     asked_forms = _indexed(asked, keys)
     listed_forms = _indexed(listed, keys)
     frequency = listed_forms.groupBy(*on).agg(F.count("*").alias("hits"))
