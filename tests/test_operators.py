@@ -212,3 +212,44 @@ def test_criteria_without_data(spark):
     )
     got = {r["criterion"]: (r["pass"], r["acceptable"]) for r in E.criteria(metrics).collect()}
     assert got == {"success": (False, True), "amount": (False, True), "date": (True, True), "vendor": (False, True), "gst": (False, True)}
+
+
+def test_report_round_trip(spark, tmp_path):
+    metrics = spark.createDataFrame(
+        [(0.9, 0.96, 0.96, 0.9, 3, 3)],
+        "success_rate double, amount_accuracy double, date_accuracy double, vendor_accuracy double, gst_n int, gst_correct int",
+    )
+    histogram = spark.createDataFrame([(5, 2, 0)], "high int, partial int, low int")
+    writers.write_report(writers.run_report(metrics, E.criteria(metrics), histogram), str(tmp_path / "r"))
+    back = spark.read.json(str(tmp_path / "r")).head()
+    assert back["gating"]["high"] == 5 and back["metrics"]["success_rate"] == 0.9
+    assert [c["criterion"] for c in back["criteria"]] == ["amount", "date", "gst", "success", "vendor"]
+    assert all(c["pass"] for c in back["criteria"])
+
+
+def test_valid_and_quarantined_rows(spark):
+    df = spark.createDataFrame([(1, "logged", "rent"), (2, "lost", "rent"), (3, "paid", None), (4, "lost", "x")], "id int, status string, category string")
+    ok, bad = L.split_valid(df)
+    assert [r["id"] for r in ok.orderBy("id").collect()] == [1, 3]
+    assert {r["id"]: r["violations"] for r in bad.collect()} == {2: ["status"], 4: ["category", "status"]} or {
+        r["id"]: sorted(r["violations"]) for r in bad.collect()
+    } == {2: ["status"], 4: ["category", "status"]}
+
+
+def test_plans_keep_their_shape(spark, sf_dir):
+    from paperledger.plans.queries import QUERIES
+
+    def plan(name):
+        return QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+    # Ranked lists are cut before the shuffle.
+    for name in ("logged_list", "search_bills", "top_vendors_by_business", "deletable_bills"):
+        assert "WindowGroupLimit" in plan(name), name
+    assert "TakeOrderedAndProject" in plan("top_vendors")
+    # The text rules add no shuffle and no Python.
+    text_plan = plan("garbage_texts") + plan("answered_bills")
+    assert "Exchange" not in text_plan and "Python" not in text_plan
+    # Columns are pruned down to the scan.
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan("garbage_texts")
+    for name in ("totals_by_user", "daily_summary", "visible_bills", "auto_log_decision"):
+        assert "CartesianProduct" not in plan(name) and "NestedLoop" not in plan(name), name
