@@ -59,8 +59,14 @@ def read_fields(df: DataFrame, text: Column) -> DataFrame:
         X.first_readable(_c("amounts")),
     )
     t = _add(t, amount=amount)
-    t = _add(t, unpriced=X.without_amount(X.without_word_amounts(_c("nodate")), _c("amount")))
-    t = _add(t, remainder=X.without_currency(_c("unpriced"), _c("amount")))
+    # Drop the first copy of the amount in either form, then of each currency word.
+    t = _add(t, rem0=X.without_word_amounts(_c("nodate")))
+    patterns = [*X.amount_patterns(_c("amount")), *X.CURRENCY_PATTERNS]
+    for i, pattern in enumerate(patterns):
+        left = _c(f"rem{i}")
+        cut = F.when(_c("amount").isNotNull(), X.replace_first(left, pattern)).otherwise(left)
+        t = _add(t, **{f"rem{i + 1}": cut})
+    t = _add(t, remainder=_c(f"rem{len(patterns)}"))
     t = _add(t, stripped=X.without_category(_c("remainder"), _c("category")))
     rest = F.when(X.has_clean_word(_c("stripped")), _c("stripped")).otherwise(_c("remainder"))
     t = _add(t, rest=rest)
@@ -186,21 +192,21 @@ def extract_bills(
         answered = fallback(asked)
         t = answered.withColumn(_PREFIX + "text_answer", F.col("text_answer")).drop("ask", "text_answer")
 
-    wants_image = (_c("source") == "none") | (_c("ocr") & X.is_garbage(_c("input")))
-    t = _add(
-        t,
-        by_text=decode_json(F.when(wants_text, _c("text_answer"))),
-        by_image=decode_json(
-            F.when(_c("image_answer").isNotNull(), F.when(wants_image, _c("image_answer")))
-        ),
-    )
-    raw = F.coalesce(
-        decode_answer(_c("by_image")),
-        only_printed(decode_answer(_c("by_text")), _c("input")),
-        raw_reading(_c("resolved")),
-    )
-    answered = _c("by_image").isNotNull() | _c("by_text").isNotNull()
-    t = _add(t, raw=raw, final_source=F.when(answered, "ai").otherwise(_c("source")))
+    # Readings in order of precedence; a source that is not in use costs nothing.
+    readings, answered = [raw_reading(_c("resolved"))], F.lit(False)
+    if text_answer is not None or fallback is not None:
+        t = _add(t, by_text=decode_json(F.when(wants_text, _c("text_answer"))))
+        t = _add(t, text_reading=decode_answer(_c("by_text")))
+        readings.insert(0, only_printed(_c("text_reading"), _c("input")))
+        answered = answered | _c("by_text").isNotNull()
+    if image_answer is not None:
+        wants_image = (_c("source") == "none") | (_c("ocr") & X.is_garbage(_c("input")))
+        asked = F.when(_c("image_answer").isNotNull(), F.when(wants_image, _c("image_answer")))
+        t = _add(t, by_image=decode_json(asked))
+        readings.insert(0, decode_answer(_c("by_image")))
+        answered = answered | _c("by_image").isNotNull()
+    final_source = F.when(answered, "ai").otherwise(_c("source"))
+    t = _add(t, raw=F.coalesce(*readings), final_source=final_source)
     t = _add(t, extraction=normalise(_c("raw"), _c("registered")))
     result = F.struct(
         _c("extraction").alias("extraction"),
