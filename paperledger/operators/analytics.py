@@ -9,7 +9,6 @@ from paperledger.functions.values import day_key, month_key
 from paperledger.schemas import LOGGED_STATUSES
 
 
-
 def category_name() -> Column:
     return F.coalesce(F.col("category"), F.lit("misc"))
 
