@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperledger.llm.exact import exact_dedup
 from paperledger.llm.lines import line_dedup
+from paperledger.llm.packing import pack
+from paperledger.llm.simhash import near_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +64,17 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
 """
+
+
+@_query
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's pieces in sequences of at most 1024 tokens."""
+    pieces = pack(_documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@_query
+def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's fingerprint and the smallest document that near links lead to."""
+    found = near_components(_documents(spark, folder))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
