@@ -19,7 +19,7 @@ WINDOW, END = 1024, 0
 MAX_OPEN, MEMORY = 512, 300_000
 
 #: Unicode white space, at which the tokenizer's own rule cuts a text before it merges.
-_SPACE = "\t-\r \x85\xa0  -     　"
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SEGMENT = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
 

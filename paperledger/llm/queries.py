@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperledger.llm import langid, pii
 from paperledger.llm.exact import exact_dedup
 from paperledger.llm.lines import line_dedup
 from paperledger.llm.packing import pack
@@ -78,3 +79,32 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's fingerprint and the smallest document that near links lead to."""
     found = near_components(_documents(spark, folder))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@_query
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's personal data."""
+    docs = _documents(spark, folder)
+    found = pii.find_pii(docs, pii.train(docs))
+
+    def joined(spans):
+        parts = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+        return F.array_join(parts, ",")
+
+    def number(kind):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [number(kind) for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+@_query
+def op9_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's language, by a model of the documents that are not held out."""
+    docs = _documents(spark, folder)
+    held = langid.held_out()
+    model = langid.fit(docs.where(~held))
+    predict = langid.predictor(docs, model)
+    found = docs.select("doc_id", held.alias("held_out"), predict(F.col("text")).alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
