@@ -12,6 +12,7 @@ from paperledger.llm import langid, pii
 from paperledger.llm.exact import exact_dedup
 from paperledger.llm.lines import line_dedup
 from paperledger.llm.packing import pack
+from paperledger.llm.pages import extract
 from paperledger.llm.simhash import near_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +109,10 @@ def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     predict = langid.predictor(docs, model)
     found = docs.select("doc_id", held.alias("held_out"), predict(F.col("text")).alias("found"))
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
+
+
+@_query
+def op10_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's main text."""
+    found = extract(spark.read.parquet(f"{folder}/pages.parquet"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
