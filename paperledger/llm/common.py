@@ -39,6 +39,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def bitmap(slots: DataFrame, bits: int) -> Column:
+    """The set slots (0 to ``bits`` - 1) as one array of 64-bit words, a scalar subquery of fixed size."""
+    words = slots.groupBy(F.expr("slot div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
+    dense = slots.sparkSession.range(bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits")).unionByName(words)
+    dense = dense.groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    return dense.agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).getField("bits").alias("map")).scalar()
+
+
+def in_bitmap(slot: str, words: str) -> Column:
+    """Whether the slot of this row is set; both are columns, the words from ``bitmap``."""
+    word = F.try_element_at(words, F.expr(f"cast({slot} div 64 as int) + 1"))
+    return F.call_function("shiftright", word, F.expr(f"cast({slot} % 64 as int)")).bitwiseAND(F.lit(1).cast("long")) == 1
+
+
 def bucket_of(value: Column, bounds: list[int]) -> Column:
     """How many of the ascending ``bounds`` are at most ``value``, by halving: a few steps even for a million bounds."""
     if not bounds:

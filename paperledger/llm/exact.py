@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperledger.llm.common import text_of, written
+from paperledger.llm.common import bitmap, in_bitmap, text_of, written
 
 #: Characters whose hash is the second level.
 PREFIX = 128
@@ -18,14 +18,6 @@ def normalised(text: Column | str) -> Column:
     return F.regexp_replace(text_of(text), r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")
 
 
-def _bitmap(slots: DataFrame, bits: int) -> Column:
-    """The set slots (0 to ``bits`` - 1) as one array of 64-bit words, a scalar subquery of fixed size."""
-    words = slots.groupBy(F.expr("slot div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
-    dense = slots.sparkSession.range(bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits")).unionByName(words)
-    dense = dense.groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    return dense.agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).getField("bits").alias("map")).scalar()
-
-
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX, map_bits: int = MAP_BITS, digests: bool = False) -> DataFrame:
     """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
@@ -48,12 +40,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     levels = rows.select("doc_id", "body", F.length("body").alias("size"), F.xxhash64(F.substring("body", 1, prefix)).alias("head"))
     shared = levels.groupBy("size", "head").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     slot = F.pmod(F.xxhash64("size", "head"), F.lit(map_bits))
-    survivors = _bitmap(shared.select(slot.alias("slot")), map_bits)
+    survivors = bitmap(shared.select(slot.alias("slot")), map_bits)
 
     placed = levels.select("doc_id", "body", "size", slot.alias("slot"), survivors.alias("map"))
-    word = F.try_element_at("map", F.expr("cast(slot div 64 as int) + 1"))
-    alive = F.expr("cast(slot % 64 as int)")
-    survives = F.call_function("shiftright", word, alive).bitwiseAND(F.lit(1).cast("long")) == 1
+    survives = in_bitmap("slot", "map")
     digest = F.sha2("body", 256)
     hashed = placed.select("doc_id", "size", survives.alias("survives"), (digest if digests else F.when(survives, digest)).alias("text_sha256"))
     hashed = written(hashed)

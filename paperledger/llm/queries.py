@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperledger.llm import langid, pii
+from paperledger.llm import langid, pieces, pii
 from paperledger.llm.exact import exact_dedup
+from paperledger.llm.fingerprints import fingerprints
 from paperledger.llm.lines import line_dedup
 from paperledger.llm.packing import pack
 from paperledger.llm.pages import extract
@@ -116,3 +117,28 @@ def op10_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Every page's main text."""
     found = extract(spark.read.parquet(f"{folder}/pages.parquet"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@_query
+def op3_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's fingerprint, its edited text's, and how alike they and the next one's are."""
+    found = fingerprints(_documents(spark, folder))
+    return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@_query
+def op8_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's three best segmentations, and whether the best decodes to the text."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    found = pieces.encode(_documents(spark, folder), model)
+    found = found.withColumn("decoded", pieces.decode(F.col("segmentations")[0]["ids"], model))
+    ids = F.transform("segmentations", lambda x: x["ids"])
+    return found.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        (F.length(ids[0]) / 4).cast("long").alias("n_pieces"),
+        F.transform("segmentations", lambda x: F.round(x["score"], 3)).alias("scores"),
+        F.transform(ids, lambda x: F.crc32(x)).alias("ids_crc32"),
+        (F.col("decoded") == F.col("text")).alias("round_trip"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
