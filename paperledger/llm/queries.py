@@ -15,6 +15,7 @@ from paperledger.llm.lines import line_dedup
 from paperledger.llm.packing import pack
 from paperledger.llm.pages import extract
 from paperledger.llm.simhash import near_components
+from paperledger.llm.substrings import substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -142,3 +143,33 @@ def op8_pieces(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("decoded") == F.col("text")).alias("round_trip"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@_query
+def op4_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the passages of 50 words and more that an earlier one holds."""
+    found = substring_dedup(_documents(spark, folder))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLES["op4_substrings"] = r"""
+WITH tokens AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+    SELECT doc_id, pos, md5(array_to_string(words[pos:pos + 49], ' ')) AS run
+    FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS pos FROM tokens)
+), judged AS (
+    SELECT doc_id, pos, doc_id > min(doc_id) OVER (PARTITION BY run) AS again FROM windows
+), covered AS (
+    SELECT doc_id, pos FROM judged WHERE again
+), gone AS (
+    SELECT DISTINCT doc_id, pos + k AS pos FROM covered, range(50) AS r(k)
+), kept AS (
+    SELECT t.doc_id, t.pos, t.word, g.pos IS NOT NULL AS drop
+    FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM tokens) t
+    LEFT JOIN gone g ON g.doc_id = t.doc_id AND g.pos = t.pos
+)
+SELECT d.doc_id, count(k.word) AS n_words, count(*) FILTER (WHERE k.drop) AS n_removed,
+       sha256(coalesce(string_agg(k.word, ' ' ORDER BY k.pos) FILTER (WHERE NOT k.drop), '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id GROUP BY d.doc_id
+"""
