@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,13 +88,14 @@ def clean_batch(docs: DataFrame, lines: DataFrame, new: DataFrame) -> DataFrame:
     drops = lines.join(new.hint("merge"), ["h1", "h2"], "left").where(F.col("owner").isNull() | (F.col("owner") < F.col("doc_id")))
     drops = drops.groupBy("doc_id", "tag").agg(F.collect_set("pos").alias("drops"))
     # The lines are split before the join, so that the lambda below reads a column and splits nothing again.
-    joined = docs.select("doc_id", _tag(), F.split("text", "\n").alias("lines")).join(drops, ["doc_id", "tag"], "left")
+    rest = [c for c in docs.columns if c == "rest"]
+    joined = docs.select("doc_id", _tag(), F.split("text", "\n").alias("lines"), *rest).join(drops, ["doc_id", "tag"], "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "drops")
     kept = F.when(F.col("drops").isNull(), F.col("lines")).otherwise(F.transform(stay, lambda i: F.get("lines", i)))
-    return joined.select("doc_id", F.array_join(kept, "\n").alias("text"), F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"))
+    return joined.select("doc_id", F.array_join(kept, "\n").alias("text"), F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"), *rest)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT, buckets: int = BUCKETS) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT, buckets: int = BUCKETS, carry: Sequence[str] = ()) -> DataFrame:
     """``doc_id, text, n_lines, n_dropped``: each repeated line stays in its smallest document only.
 
     The table is taken in batches of ascending id, as it would arrive over
@@ -102,12 +104,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty text is one empty line. A line that is repeated inside its smallest
     document stays there each time, and goes everywhere else. Rows that share
     an id count as one document. Rows with a null id are one earliest document.
-    Empty tables give no row; other columns are ignored.
+    Empty tables give no row. ``carry`` names columns to return as well, as the
+    fields of ``rest``; others are ignored.
     """
     spark = docs.sparkSession
     # A null id joins with nothing, so it gets the smallest number of all.
     earliest = -(1 << 63)
-    rows = docs.select(F.coalesce(F.col(id_col), F.lit(earliest)).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col), F.lit(earliest)).cast("long").alias("doc_id"), text_of(text_col).alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("rest")] if carry else []))
     cuts = rows.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 10_000).alias("cuts")).head()["cuts"] if batches > 1 else None
     cuts = sorted(set(cuts or []))
     store, cleaned = LineRuns(spark, fanout, buckets), []
@@ -124,4 +127,4 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = cleaned[0]
     for part in cleaned[1:]:
         out = out.unionByName(part)
-    return out.select(F.when(F.col("doc_id") != earliest, F.col("doc_id")).alias("doc_id"), "text", "n_lines", "n_dropped")
+    return out.withColumn("doc_id", F.when(F.col("doc_id") != earliest, F.col("doc_id")))

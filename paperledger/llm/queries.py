@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -173,3 +174,13 @@ SELECT d.doc_id, count(k.word) AS n_words, count(*) FILTER (WHERE k.drop) AS n_r
        sha256(coalesce(string_agg(k.word, ' ' ORDER BY k.pos) FILTER (WHERE NOT k.drop), '')) AS kept_sha256
 FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id GROUP BY d.doc_id
 """
+
+
+@_query
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """The packed corpus after all stages."""
+    return corpus_pipeline.run(spark, folder)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -182,6 +182,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component left: the one with the smallest id."""
-    keep = near_components(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(keep, id_col, "left_semi")
+    """``docs`` without the rows that a near one with a smaller id stands for. Rows with a null id stay."""
+    found = near_components(docs, id_col, text_col)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(gone, id_col, "left_anti")
