@@ -73,6 +73,7 @@ MAX_VENDOR = 60
 
 def rejoin_wraps(text: Column) -> Column:
     """Join a lower-case word that a line break split at a hyphen."""
+    # Fixed value: what counts as a split word.
     wrapped = r"(?<![A-Za-z'-])([A-Za-z]*[a-z])-[ \t]*\r?\n([a-z]{2,})"
     return F.regexp_replace(text, wrapped, "$1$2")
 
@@ -85,6 +86,7 @@ def is_garbage(text: Column) -> Column:
     return F.coalesce((words >= 8) & (short * 2 >= words), F.lit(False))
 
 
+# The shapes of dates that are read, and those that are only kept out of amounts.
 _ISO_DAY = r"\d{4}-\d{1,2}-\d{1,2}"
 _DASH_MONTH = r"\d{1,2}-[A-Za-z]{3}-\d{2,4}"
 _BLANK_MONTH = r"\d{1,2}\s+[A-Za-z]{3,9}\s+\d{2,4}"
@@ -142,6 +144,7 @@ def find_abn(text: Column) -> Column:
 
 
 def gst_basis(text: Column) -> Column:
+    # Wordings of a price with and without tax.
     inclusive = rf"(?i)gst\s*inclusive|{START}inc\s*gst|{START}gst\s*inc{END}"
     return (
         F.when(text.rlike(inclusive), "inclusive")
@@ -159,6 +162,7 @@ def category_of(text: Column) -> Column:
 
 # --- amount -----------------------------------------------------------------
 
+# How a marked and a bare amount look.
 _TAIL = r"\s*[\d,]+(?:\.\d{1,2})?"
 PREFIXED_AMOUNT = rf"\${_TAIL}|{START}AUD{_TAIL}|{START}(?:Rs|INR)\.?{_TAIL}|₹{_TAIL}"
 # Possessive groups keep a refused number from matching again in a shorter form.
@@ -252,6 +256,7 @@ def first_readable(candidates: Column) -> Column:
 
 # --- amounts in words -------------------------------------------------------
 
+# Currency words and their fractions.
 CURRENCY_WORD = rf"{START}(?:RUPEES?|DOLLARS?|INR){END}"
 _BEFORE_CURRENCY = rf"(?is)\A(.*?){CURRENCY_WORD}"
 _FRACTION = rf"(?is)\A.*?{CURRENCY_WORD}.*?{START}(?:AND\s+)?([A-Z]+)\s*(?:PAISA|CENTS?){END}"

@@ -63,12 +63,13 @@ def unit_length(text: Column) -> Column:
 def round2(number: Column) -> Column:
     """Round half up to cents with the small upward nudge the rules ask for."""
     nudged = F.floor((number + F.lit(2.0**-52)) * 100 + 0.5) / 100
-    # Beyond 1e13 a double carries no further cents and floor() could overflow.
-    return F.when(F.abs(number) < 1e13, nudged).otherwise(number)
+    # floor() gives a 64-bit number; a double of that size has no cents left to round.
+    return F.when(F.abs(number) < 9.2e16, nudged).otherwise(number)
 
 
 def parse_amount(text: Column) -> Column:
     """Money text to a number, or null: ``$4,850.00``, ``AUD 4850``, ``Rs 321.68``."""
+    # Marks before an amount, and its shape.
     bare = F.regexp_replace(text, r"\A\s*(?i:AUD|INR|Rs\.?|₹)|[$€\s]", "")
     digits = F.regexp_extract(bare, r"\A(?:\d{1,3}(?:,\d{3})*|\d+)(?:\.\d{1,2})?\z", 0)
     number = F.replace(digits, F.lit(","), F.lit("")).try_cast("double")
@@ -88,6 +89,7 @@ def two_decimals(number: Column) -> Column:
 def normalise_date(text: Column) -> Column:
     """Day-first or ISO date text to ``yyyy-MM-dd``; impossible dates give null."""
     s = strip(text)
+    # The three shapes of a date.
     iso = r"\A\d{4}-\d{1,2}-\d{1,2}\z"
     numeric = r"\A(\d{1,2})\s*[-/.]\s*(\d{1,2})\s*[-/.]\s*(\d{2}|\d{4})\z"
     named = r"\A(\d{1,2})(?:-([A-Za-z]{3})-|\s+([A-Za-z]{3,9})\s+)(\d{2}|\d{4})\z"

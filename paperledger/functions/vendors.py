@@ -1,4 +1,4 @@
-"""Known vendor names held as a small literal list."""
+"""Known vendor names as a literal list; names kept in a table are matched by operators.vendors."""
 
 from __future__ import annotations
 
@@ -22,16 +22,13 @@ SEED_VENDORS = [
     "Gujarat Freight Tools",
 ]
 
-# A longer list belongs in a DataFrame, see operators.vendors.
-MAX_LITERAL_VENDORS = 64
-
 
 def learnable(name: Column) -> Column:
     """3 to 60 characters, up to eight words, one of them with three letters."""
     s = F.regexp_replace(F.btrim(name, F.lit(" \t\n\r\f\u000b")), r"\s+", " ")
     words = F.split(s, " ")
     letters = F.exists(words, lambda w: F.length(F.regexp_replace(w, "[^A-Za-z]", "")) >= 3)
-    return F.length(F.btrim(name)).between(3, 60) & (F.size(words) <= 8) & letters
+    return F.length(F.btrim(name, F.lit(" \t\n\r\f\u000b"))).between(3, 60) & (F.size(words) <= 8) & letters
 
 
 def word_distance(left: Column, right: Column) -> Column:
@@ -43,8 +40,7 @@ def word_distance(left: Column, right: Column) -> Column:
 
 def match_literal(name: Column, known: list[str]) -> Column:
     """The one nearest known name, or null when none or several are nearest."""
-    if len(known) > MAX_LITERAL_VENDORS:
-        raise ValueError("pass long vendor lists as a DataFrame")
+    known = list(dict.fromkeys(known))  # a repeated name doesn't tie with itself
     entries = [
         f"struct({sql_text(k)} as name, {sql_text(_fold(k))} as folded, "
         f"array({', '.join(sql_text(w) for w in _shapes(k).split(' '))}) as words)"

@@ -17,8 +17,8 @@ def logged(ledger: DataFrame) -> DataFrame:
     return ledger.filter(F.col("status").isin(LOGGED_STATUSES))
 
 
-def newest_per_user(ledger: DataFrame, limit: int | None = 100, user: str = "user_id") -> DataFrame:
-    """Logged bills per user, newest first; ``None`` keeps the whole history."""
+def newest_per_user(ledger: DataFrame, limit: int | None = None, user: str = "user_id") -> DataFrame:
+    """Logged bills, of each user the newest ``limit`` with their rank; ``None`` keeps the whole history."""
     order = Window.partitionBy(user).orderBy(F.desc("confirmed_at"), F.desc("bill_id"))
     if limit is None:
         return logged(ledger)
@@ -41,7 +41,8 @@ def scope(bills: DataFrame, month: str | None = None, category: str | None = Non
     """
     checks = []
     if month:
-        checks.append(("month", month_key(F.col("confirmed_at")) == month))
+        first = F.to_timestamp(F.lit(f"{month}-01"))
+        checks.append(("month", (F.col("confirmed_at") >= first) & (F.col("confirmed_at") < F.add_months(first, 1).cast("timestamp"))))
     if category:
         checks.append(("category", category_name() == category))
     if vendor:

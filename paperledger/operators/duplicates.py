@@ -48,8 +48,8 @@ def find_duplicates(
     eligible = F.col("status").isin(LOGGED_STATUSES)
     # A missing key must match nothing: it becomes a group of its own.
     lone = lambda missing: F.when(missing, F.col("bill_id"))
-    no_invoice = F.col("invoice_number").isNull()
-    no_pair = F.col("vendor").isNull() | F.col("amount").isNull()
+    no_invoice = F.col(user).isNull() | F.col("invoice_number").isNull()
+    no_pair = F.col(user).isNull() | F.col("vendor").isNull() | F.col("amount").isNull()
     out = latest_before(
         bills, [F.col(user), F.col("invoice_number"), lone(no_invoice)], "confirmed_at", "bill_id", eligible, "__inv", bucket
     )

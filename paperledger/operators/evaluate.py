@@ -50,16 +50,15 @@ def score(joined: DataFrame) -> DataFrame:
         F.when(
             ~F.col(f"ok_{c}"),
             F.concat(
-                F.lit(f"{c} incorrect (expected "),
+                F.lit(f"{c}: wanted "),
                 e[c].cast("string"),
-                F.lit(", got "),
-                F.coalesce(actual[c].cast("string"), F.lit("null")),
-                F.lit(")"),
+                F.lit(", read "),
+                F.coalesce(actual[c].cast("string"), F.lit("nothing")),
             ),
         )
         for c in CHECKS
     ]
-    low = F.when(F.col("gate") == "low", F.concat(F.lit("gated low ("), F.col("source"), F.lit(")")))
+    low = F.when(F.col("gate") == "low", F.concat(F.lit("graded low from "), F.col("source")))
     return t.select(
         "*",
         success(F.col("gate")).alias("success"),

@@ -152,7 +152,7 @@ def extract_bills(
     fallback: Callable[[DataFrame], DataFrame] | None = None,
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
-    """Add ``extraction``, ``gate``, ``machine_read`` and ``source``.
+    """Add ``extraction``, ``gate``, ``machine_read`` and ``source``; input columns of these names are replaced.
 
     Scanned text comes before typed text. ``vendors`` is a short list or, for
     learned names, a DataFrame with a ``vendor`` column (and the ``scope`` column
@@ -179,8 +179,12 @@ def extract_bills(
     if isinstance(vendors, DataFrame):
         from paperledger.operators.vendors import resolve_vendors
 
-        # The picked names feed both sides of several joins: read the text once.
-        t = cut_lineage(t)
+        # The picked names feed both sides of several joins: read the text once,
+        # and keep only what the answers and the result still need.
+        needed = ["ocr", "source", "registered", "text_answer", "image_answer", "amount", "date", "abn", "basis", "category", "picked"]
+        if text_answer is not None or image_answer is not None or fallback is not None:
+            needed.append("input")
+        t = cut_lineage(t.select(*[F.col(f"`{c}`") for c in df.columns], *[_PREFIX + c for c in needed]))
         t = resolve_vendors(t, _PREFIX + "picked", vendors, scope=scope, into=_PREFIX + "resolved")
     else:
         known = SEED_VENDORS if vendors is None else vendors
@@ -216,4 +220,5 @@ def extract_bills(
     )
     # The generator keeps a filter on the results from being pushed into the
     # rules, where it would run all of them a second time.
-    return t.select(*[F.col(f"`{c}`") for c in df.columns], F.inline(F.array(result)))
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in ("extraction", "gate", "machine_read", "source")]
+    return t.select(*kept, F.inline(F.array(result)))

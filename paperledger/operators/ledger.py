@@ -148,10 +148,9 @@ def expire_due(drafts: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def nudge_due(drafts: DataFrame, as_of: Column, settings: Settings = DEFAULTS) -> DataFrame:
-    """Open drafts in the last minutes of their life that were never reminded."""
+def _nudge_due(as_of: Column, settings: Settings) -> Column:
     window_end = as_of + _minutes(settings.nudge_window_minutes)
-    return drafts.filter(
+    return (
         (F.col("status") == "draft")
         & F.col("flow_nudged_at").isNull()
         & (F.col("flow_expires_at") > as_of)
@@ -160,13 +159,17 @@ def nudge_due(drafts: DataFrame, as_of: Column, settings: Settings = DEFAULTS) -
     )
 
 
+def nudge_due(drafts: DataFrame, as_of: Column, settings: Settings = DEFAULTS) -> DataFrame:
+    """Open drafts in the last minutes of their life that were never reminded."""
+    return drafts.filter(_nudge_due(as_of, settings))
+
+
 def sweep(drafts: DataFrame, as_of: Column, settings: Settings = DEFAULTS) -> DataFrame:
     """One sweep: expiry first, then reminders, as two counts."""
-    after = expire_due(drafts, as_of)
-    # Both counts come from one pass; a row due to expire cannot be nudged.
+    # A row due to expire is past its limit, so it is never counted as nudged.
     expired = (F.col("status") == "draft") & (F.col("flow_expires_at") <= as_of)
-    nudged = nudge_due(after, as_of, settings).agg(F.count("*").alias("nudged"))
-    return drafts.agg(F.count_if(expired).alias("expired")).crossJoin(nudged)
+    nudged = _nudge_due(as_of, settings)
+    return drafts.agg(F.count_if(expired).alias("expired"), F.count_if(nudged).alias("nudged"))
 
 
 def undo(bills: DataFrame, requests: DataFrame, user: str = "user_id", settings: Settings = DEFAULTS) -> DataFrame:

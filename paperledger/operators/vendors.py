@@ -6,32 +6,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperledger.functions.values import fold_case, fold_shapes
-from paperledger.functions.vendors import SEED_VENDORS, learnable, word_distance
+from paperledger.functions.vendors import SEED_VENDORS, _fold, learnable, word_distance
 from paperledger.plans.lineage import cut_lineage
 
 
-def newest_logged_vendors(ledger: DataFrame, user: str = "user_id", n: int = 200) -> DataFrame:
-    """Vendors of each user's last ``n`` logged bills."""
+def newest_logged_vendors(ledger: DataFrame, user: str = "user_id", n: int | None = None) -> DataFrame:
+    """Vendors of each user's logged bills, the newest first in ``rank``; with ``n``, of the last ``n`` bills only."""
     newest = Window.partitionBy(user).orderBy(F.desc("confirmed_at"), F.desc("bill_id"))
-    return (
-        ledger.filter(F.col("status").isin("logged", "paid"))
-        .select(user, "vendor", "confirmed_at", "bill_id", F.row_number().over(newest).alias("rank"))
-        .filter(F.col("rank") <= n)
-        .select(user, "vendor", "rank")
-    )
+    bills = ledger.filter(F.col("status").isin("logged", "paid"))
+    if n is None:
+        # Only the order of a user's names matters: one row for each name, combined before the shuffle.
+        names = bills.groupBy(user, "vendor").agg(F.max(F.struct("confirmed_at", "bill_id")).alias("last"))
+        order = Window.partitionBy(user).orderBy(F.desc("last"))
+        return names.select(user, "vendor", F.row_number().over(order).alias("rank"))
+    ranked = bills.select(user, "vendor", "confirmed_at", "bill_id", F.row_number().over(newest).alias("rank"))
+    return ranked.filter(F.col("rank") <= n).select(user, "vendor", "rank")
 
 
 def merge_known_vendors(learned: DataFrame, scope: str | None = None) -> DataFrame:
     """Seed names and learned names, one spelling per folded name, seed first.
 
     ``learned`` has ``vendor`` and ``rank`` (lower is kept) and, with ``scope``,
-    the column that names belong to; every scope then gets the seed too.
+    the column that names belong to. Seed names then have a null scope, which
+    means everyone's, also of those who have learned nothing yet.
     """
     keys = [scope] if scope else []
     seeds = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(v).alias("vendor")) for i, v in enumerate(SEED_VENDORS)])
-    base = learned.select(*keys).distinct() if scope else learned.sparkSession.range(1).select()
-    seeded = base.select(*keys, F.inline(seeds)).select(*keys, "vendor", F.lit(0).alias("tier"), "rank")
+    everyone = [F.lit(None).cast(learned.schema[scope].dataType).alias(scope)] if scope else []
+    seeded = learned.sparkSession.range(1).select(*everyone, F.inline(seeds)).select(*keys, "vendor", F.lit(0).alias("tier"), "rank")
     names = learned.filter(learnable(F.col("vendor"))).select(*keys, "vendor", F.lit(1).alias("tier"), "rank")
+    if scope:
+        # A spelling of a seed name is the seed name.
+        names = names.filter(F.col(scope).isNotNull() & ~fold_case(F.col("vendor")).isin([_fold(v) for v in SEED_VENDORS]))
     folded = seeded.unionByName(names).withColumn("folded", fold_case(F.col("vendor"))).filter("folded <> ''")
     # min_by combines before the shuffle, unlike a row_number over all spellings.
     first = F.min_by("vendor", F.struct("tier", "rank", "vendor"))
@@ -62,10 +68,11 @@ def resolve_vendors(
     Two words within one edit of each other share a form with at most one letter
     left out, so names meet by equality on such forms. A name is looked up by
     the word position whose forms are rarest among the known names: any position
-    finds every match, and a common first word then costs nothing.
+    finds every match, and a common first word then costs nothing. With
+    ``scope``, known names whose scope is null belong to everyone: they are
+    matched once for all scopes and ranked together with a scope's own names.
     """
     keys = [scope] if scope else []
-    on = [*keys, "n", "pos", "key"]
     prepared = lambda d, c: d.select(
         *keys,
         F.col(c).alias("name"),
@@ -79,6 +86,28 @@ def resolve_vendors(
 
     # Both lists are distinct names only, and each feeds several joins below.
     asked, listed = cut_lineage(asked), cut_lineage(listed)
+    if scope:
+        own = _near(asked, listed.filter(F.col(scope).isNotNull()), keys)
+        common = _near(asked.drop(scope).distinct(), listed.filter(F.col(scope).isNull()).drop(scope), [])
+        matched = own.unionByName(asked.select(scope, "name").join(common, "name"))
+    else:
+        matched = _near(asked, listed, [])
+    # A pair can meet on several forms; count each known name once.
+    scored = matched.groupBy(*keys, "name", "d").agg(
+        F.min("vendor").alias("vendor"), (F.min("vendor") != F.max("vendor")).alias("tied")
+    )
+    best = (
+        scored.groupBy(*keys, "name")
+        .agg(F.min_by(F.struct("vendor", "tied"), "d").alias("best"))
+        .filter("not best.tied")
+        .select(*keys, F.col("name").alias(name), F.col("best.vendor").alias(into))
+    )
+    return df.join(best, [*keys, name], "left").select(*df.columns, into)
+
+
+def _near(asked: DataFrame, listed: DataFrame, keys: list[str]) -> DataFrame:
+    """``name, vendor, d`` (and the keys) of the pairs within one edit in each word."""
+    on = [*keys, "n", "pos", "key"]
     asked_forms = _indexed(asked, keys)
     listed_forms = _indexed(listed, keys)
     frequency = listed_forms.groupBy(*on).agg(F.count("*").alias("hits"))
@@ -100,14 +129,4 @@ def resolve_vendors(
         .withColumn("d", word_distance(F.col("words"), F.col("known_words")))
         .filter("d is not null")
     )
-    # A pair can meet on several forms; count each known name once.
-    scored = matched.groupBy(*keys, "name", "d").agg(
-        F.min("vendor").alias("vendor"), (F.min("vendor") != F.max("vendor")).alias("tied")
-    )
-    best = (
-        scored.groupBy(*keys, "name")
-        .agg(F.min_by(F.struct("vendor", "tied"), "d").alias("best"))
-        .filter("not best.tied")
-        .select(*keys, F.col("name").alias(name), F.col("best.vendor").alias(into))
-    )
-    return df.join(best, [*keys, name], "left").select(*df.columns, into)
+    return matched.select(*keys, "name", "vendor", "d")

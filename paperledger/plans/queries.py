@@ -151,9 +151,9 @@ def recent_bills(spark, d):
 
 @query(LEDGER + """
 select user_id, bill_id, rank from (select *, row_number() over (partition by user_id order by confirmed_at desc, bill_id desc) as rank
-from logged) where rank <= 100""")
+from logged) where rank <= 3""")
 def logged_list(spark, d):
-    return A.newest_per_user(VW.ledger(spark, d)).select("user_id", "bill_id", F.col("rank").cast("bigint").alias("rank"))
+    return A.newest_per_user(VW.ledger(spark, d), 3).select("user_id", "bill_id", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(LEDGER + """
@@ -335,6 +335,7 @@ def garbage_texts(spark, d):
     return VW.table(spark, d, "documents").select("doc_id", X.is_garbage(F.col("text")).alias("garbage"))
 
 
+# The wordings of the rules, as in functions.text.
 @query("""
 select doc_id, case when regexp_matches(text, '(?i)gst\\s*inclusive|\\binc\\s*gst|\\bgst\\s*inc\\b') then 'inclusive'
   when regexp_matches(text, '(?i)\\bgst\\b|\\btax\\b') then 'exclusive' else 'none' end as basis,
@@ -347,6 +348,7 @@ def basis_and_category(spark, d):
     return VW.table(spark, d, "documents").select("doc_id", X.gst_basis(t).alias("basis"), X.category_of(t).alias("category"))
 
 
+# The two shapes of dates that the guard is defined by.
 _FRAGMENT = (
     r"\b\d{4}-\d{1,2}-\d{1,2}\b|\b\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}\b|\b\d{1,2}-[A-Za-z]{3}-\d{2,4}\b"
     r"|\b\d{1,2}[/\-]\d{1,2}\s+\d{2,4}\b|\b\d{1,2}:\d{2}\b|\b\d{1,2}\s+[A-Za-z]{3,9}\s+\d{2,4}\b"
@@ -486,16 +488,39 @@ def extracted_with_learned_vendors(spark, d):
 
 @query(LEDGER + """
 , newest as (select user_id, vendor from (select *, row_number() over (partition by user_id order by confirmed_at desc, bill_id desc) as rank
-  from logged) where rank <= 200),
-names as (select distinct user_id, upper(vendor) as folded, vendor from newest where vendor is not null
-  union select user_id, upper(v), v from (select distinct user_id from newest), unnest(['Telstra', 'Origin Energy', 'Bunnings',
-  'Caltex', 'Homebase', 'Rajesh', 'Reliance Hypermart Limited', 'HDFC Bank', 'Gujarat Freight Tools']) as t(v))
-select user_id, vendor from names""")
+  from logged) where rank <= 5)
+select distinct user_id, vendor from newest where vendor is not null
+union all select null, unnest(['Telstra', 'Origin Energy', 'Bunnings',
+  'Caltex', 'Homebase', 'Rajesh', 'Reliance Hypermart Limited', 'HDFC Bank', 'Gujarat Freight Tools'])""")
 def known_vendors(spark, d):
-    learned = newest_logged_vendors(VW.ledger(spark, d))
+    learned = newest_logged_vendors(VW.ledger(spark, d), n=5)
     return merge_known_vendors(learned, "user_id").select("user_id", "vendor")
 
 
+@query(LEDGER + """
+, asked as (select c_custkey as user_id, 'te1stra' as shown from customer union all
+  select c_custkey, upper(p_name) || 'x' from customer, part where p_partkey = c_custkey % 7 + 1),
+learned as (select distinct user_id, vendor from logged where vendor is not null),
+pairs as (select a.user_id, shown, 'Telstra' as vendor, 1 as d from asked a where shown = 'te1stra'
+  union select a.user_id, shown, l.vendor,
+    levenshtein(split_part(translate(upper(shown), 'L', 'I'), ' ', 1), split_part(translate(upper(vendor), 'L', 'I'), ' ', 1))
+    + levenshtein(split_part(translate(upper(shown), 'L', 'I'), ' ', 2), split_part(translate(upper(vendor), 'L', 'I'), ' ', 2))
+  from asked a join learned l on l.user_id = a.user_id where shown <> 'te1stra'
+    and levenshtein(split_part(translate(upper(shown), 'L', 'I'), ' ', 1), split_part(translate(upper(vendor), 'L', 'I'), ' ', 1)) <= 1
+    and levenshtein(split_part(translate(upper(shown), 'L', 'I'), ' ', 2), split_part(translate(upper(vendor), 'L', 'I'), ' ', 2)) <= 1),
+ranked as (select user_id, shown, d, min(vendor) as vendor, count(*) as n, row_number() over (partition by user_id, shown order by d) as rn from pairs group by 1, 2, 3)
+select a.user_id, a.shown, case when n = 1 then vendor end as resolved_to
+from (select distinct * from asked) a left join ranked r on r.user_id = a.user_id and r.shown = a.shown and rn = 1""")
+def vendors_by_user(spark, d):
+    # Every user knows the seed names; only some have learned the misread one.
+    users = VW.table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
+    parts = VW.table(spark, d, "part").select("p_partkey", F.concat(F.upper("p_name"), F.lit("x")).alias("shown"))
+    misread = users.withColumn("p_partkey", F.col("user_id") % 7 + 1).join(parts, "p_partkey").select("user_id", "shown")
+    asked = users.select("user_id", F.lit("te1stra").alias("shown")).unionByName(misread).distinct()
+    known = merge_known_vendors(newest_logged_vendors(VW.ledger(spark, d)), "user_id")
+    return resolve_vendors(asked, "shown", known, scope="user_id").select("user_id", "shown", "resolved_to")
+
+
 # --- evaluation -------------------------------------------------------------
 
 
@@ -518,9 +543,7 @@ def _scored(spark, d):
             F.lit(None).cast("string").alias("invoice_number"),
         ).alias("expected"),
     )
-    # Reading a text costs far more than moving it, and document lengths are very
-    # uneven, so the documents are spread by id before the rules run.
-    docs = VW.table(spark, d, "documents").repartition("doc_id").select(
+    docs = VW.table(spark, d, "documents").select(
         (-F.col("doc_id") - 1).alias("id"),
         "text",
         F.lit(False).alias("should_log"),
@@ -691,12 +714,12 @@ def domain_check(spark, d):
 
 
 @query(DRAFTS + """
-select user_phone, wa_message_id, min(id) as id from drafts x where id >= 4000 and not exists (
-  select 1 from drafts y where y.status = 'draft' and y.id < 4000 and y.user_phone = x.user_phone and y.wa_message_id = x.wa_message_id)
+select user_phone, wa_message_id, min(id) as id from drafts x where id % 3 = 0 and not exists (
+  select 1 from drafts y where y.status = 'draft' and y.id % 3 <> 0 and y.user_phone = x.user_phone and y.wa_message_id = x.wa_message_id)
 group by 1, 2""")
 def insert_if_absent(spark, d):
     base = VW.drafts(spark, d)
-    held, incoming = base.filter("id < 4000"), base.filter("id >= 4000")
+    held, incoming = base.filter("id % 3 <> 0"), base.filter("id % 3 = 0")
     new = L.insert_if_absent(held, incoming.select("user_phone", "wa_message_id", "id"), ["user_phone", "wa_message_id"], ["id"])
     return new.select("user_phone", "wa_message_id", "id")
 

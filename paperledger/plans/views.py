@@ -231,12 +231,14 @@ def inbound(spark: SparkSession, sf_dir: str) -> DataFrame:
     photo = kind == "purchase"
     # Events are minutes apart per user; an hour of the stream becomes a minute
     # so that replies reach drafts that are still open.
+    # Every third photo is sent again, after half a minute or after nine.
+    later = F.when(photo & (key % 3 == 0), F.array(F.lit(0), F.when(key % 2 == 0, 30).otherwise(540))).otherwise(F.array(F.lit(0)))
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
     seconds = (F.col("ts").cast("timestamp").cast("double") - start.cast("double")) / 240
-    return e.select(
+    return e.withColumn("later", F.explode(later)).select(
         F.col("user_id").cast("string").alias("user_phone"),
         key.cast("string").alias("wa_message_id"),
-        F.timestamp_micros((start.cast("double") * 1000000 + F.floor(seconds * 1000000)).cast("bigint")).alias("wa_received_at"),
+        F.timestamp_micros((start.cast("double") * 1000000 + F.floor((seconds + F.col("later")) * 1000000)).cast("bigint")).alias("wa_received_at"),
         F.when(photo, "photo").otherwise("text").alias("kind"),
         F.when(kind == "click", "1")
         .when(kind == "error", "delete")

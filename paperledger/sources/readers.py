@@ -63,9 +63,9 @@ def check_labels(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_labels(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """One JSON document per label file, in file order."""
+    """One JSON document per label file. A label's own ``source`` becomes ``label_source``: extraction adds a ``source``."""
     raw = spark.read.schema(LABEL).json(folder, multiLine=True, pathGlobFilter="*.json")
-    return check_labels(raw.withColumn("file", F.col("_metadata.file_name")).orderBy("file"))
+    return check_labels(raw.withColumn("file", F.col("_metadata.file_name")).withColumnRenamed("source", "label_source"))
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:

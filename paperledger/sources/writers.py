@@ -64,7 +64,10 @@ def write_extract(bills: DataFrame, folder: str) -> None:
     """CSV with a byte-order mark, header and CRLF ends; every part file is complete."""
     flat = extract_columns(bills)
     marked = flat.withColumnRenamed(EXTRACT_HEADER[0], "\ufeff" + EXTRACT_HEADER[0])
-    marked.write.mode("overwrite").csv(folder, header=True, lineSep="\r\n", escape='"', emptyValue="")
+    # Cells are written as they are, blanks at their ends too.
+    marked.write.mode("overwrite").csv(
+        folder, header=True, lineSep="\r\n", escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
 
 
 def extract_name(month: Column, category: Column, vendor: Column) -> Column:

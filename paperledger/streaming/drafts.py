@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 from paperledger.config import DEFAULTS, Settings
 
-DRAFT_FIELDS = ["amount", "amount_conf", "date", "date_conf", "vendor", "gst_basis"]
+DRAFT_FIELDS = ["amount", "amount_conf", "date", "date_conf", "vendor", "gst_basis", "gst_registered"]
 EDITS = {"2": "amount", "3": "vendor", "5": "date"}
 COMMANDS = {"help", "setup", "autosave on", "autosave off"}
 MINUTE = 60_000
@@ -44,7 +44,8 @@ class Conversation:
         """Let time pass: remind and expire drafts up to and including ``now``."""
         due = []
         for d in self.drafts:
-            remind_at = d["created"] + self.settings.nudge_delay_minutes * MINUTE
+            # A draft that was queued at its time of reminder is reminded when it becomes active.
+            remind_at = max(d["created"] + self.settings.nudge_delay_minutes * MINUTE, d["active"])
             waits = d["flow_state"] == "awaiting_confirm" or d["flow_state"].startswith("editing_")
             if waits and not d["nudged"] and remind_at <= now:
                 d["nudged"] = True
@@ -60,8 +61,9 @@ class Conversation:
 
     def timers(self) -> list[int]:
         """Every moment at which something happens to an open draft by itself."""
-        delays = (self.settings.nudge_delay_minutes, self.settings.draft_minutes)
-        return [d["created"] + delay * MINUTE for d in self.drafts for delay in delays]
+        s = self.settings
+        reminders = [max(d["created"] + s.nudge_delay_minutes * MINUTE, d["active"]) for d in self.drafts]
+        return reminders + [d["created"] + s.draft_minutes * MINUTE for d in self.drafts]
 
     def handle(self, m: dict, first: bool) -> None:
         """Apply one message."""
@@ -95,6 +97,7 @@ class Conversation:
                 draft_id=f"{m['message']}/{i}",
                 message=m["message"],
                 created=m["at"],
+                active=m["at"],
                 nudged=False,
                 flow_state="awaiting_confirm" if i == 0 else "queued",
             )
@@ -141,7 +144,7 @@ class Conversation:
             self._emit(now, "queue_empty")
             return
         oldest = min(queued, key=lambda d: (d["created"], d["draft_id"]))
-        oldest["flow_state"] = "awaiting_confirm"
+        oldest["flow_state"], oldest["active"] = "awaiting_confirm", now
         self._emit(now, "promoted", oldest)
 
     def _undo(self, now: int) -> None:

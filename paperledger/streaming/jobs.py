@@ -14,8 +14,9 @@ from paperledger.config import DEFAULTS, Settings
 from paperledger.functions.values import compute_gst, gate_from, normalise_date, parse_amount, strip, unit_length
 from paperledger.streaming.drafts import DRAFT_FIELDS, MINUTE, Conversation
 
-_DRAFT = "amount double, amount_conf double, date string, date_conf double, vendor string, gst_basis string"
-_TYPES = [T.DoubleType(), T.DoubleType(), T.StringType(), T.DoubleType(), T.StringType(), T.StringType()]
+_DRAFT = "amount double, amount_conf double, date string, date_conf double, vendor string, gst_basis string, gst_registered boolean"
+_TYPES = [T.DoubleType(), T.DoubleType(), T.StringType(), T.DoubleType(), T.StringType(), T.StringType(), T.BooleanType()]
+_STATE = ["message", "created", "active", "nudged", "flow_state", *DRAFT_FIELDS]
 STEP_SCHEMA = T.StructType(
     [
         T.StructField("user_phone", T.StringType()),
@@ -35,9 +36,11 @@ def prepare(messages: DataFrame) -> DataFrame:
     """Normalised messages with a graded reading to the columns a step needs.
 
     Expected: user_phone, wa_message_id, wa_received_at, kind, text, images,
-    auto_ok and the draft fields. Typed corrections are validated here, as columns.
+    auto_ok and the draft fields; ``gst_registered`` is true where it is missing.
+    Typed corrections are validated here, as columns.
     """
     text = strip(F.col("text"))
+    messages = _with_registration(messages)
     return messages.select(
         "user_phone",
         F.col("wa_message_id").alias("message"),
@@ -53,6 +56,11 @@ def prepare(messages: DataFrame) -> DataFrame:
     )
 
 
+def _with_registration(messages: DataFrame) -> DataFrame:
+    given = F.col("gst_registered") if "gst_registered" in messages.columns else F.lit(None).cast("boolean")
+    return messages.withColumn("gst_registered", F.coalesce(given, F.lit(True)))
+
+
 def finish(steps: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Grade and tax of every emitted draft, as columns."""
     graded = gate_from(
@@ -75,7 +83,7 @@ def finish(steps: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
         "date",
         "vendor",
         F.when(F.col("amount_conf").isNotNull(), graded).alias("gate"),
-        compute_gst(F.col("amount"), F.col("gst_basis"), F.lit(True)).alias("gst"),
+        compute_gst(F.col("amount"), F.col("gst_basis"), F.coalesce("gst_registered", F.lit(True))).alias("gst"),
         "auto",
     )
 
@@ -86,7 +94,7 @@ def _plain(row: dict) -> dict:
 
 def _frame(rows: list[dict]) -> pd.DataFrame:
     frame = pd.DataFrame(rows, columns=STEP_SCHEMA.names)
-    return frame.astype({"auto": "object"})
+    return frame.astype({"auto": "object", "gst_registered": "object"})
 
 
 def replay(messages: DataFrame, settings: Settings = DEFAULTS, chunk_hours: int = 24) -> DataFrame:
@@ -151,29 +159,31 @@ class DraftProcessor(StatefulProcessor):
         self.drafts = handle.getMapState(
             "drafts",
             "draft_id string",
-            f"message string, created bigint, nudged boolean, flow_state string, {_DRAFT}",
+            f"message string, created bigint, active bigint, nudged boolean, flow_state string, {_DRAFT}",
         )
         self.bills = handle.getMapState("bills", "draft_id string", "at bigint, auto boolean")
         self.seen = handle.getValueState("seen", "seen boolean")
 
     def _load(self, user: str) -> Conversation:
         talk = Conversation(user, self.settings)
-        names = ["message", "created", "nudged", "flow_state", *DRAFT_FIELDS]
         for key, value in self.drafts.iterator():
-            talk.drafts.append({"draft_id": key[0], **dict(zip(names, value))})
+            talk.drafts.append({"draft_id": key[0], **dict(zip(_STATE, value))})
         for key, value in self.bills.iterator():
             talk.bills.append({"draft_id": key[0], "at": value[0], "auto": value[1]})
+        self.loaded = {d["draft_id"]: tuple(d[n] for n in _STATE) for d in talk.drafts}
         self.before = ({d["draft_id"] for d in talk.drafts}, {b["draft_id"] for b in talk.bills})
         return talk
 
     def _store(self, talk: Conversation, now: int) -> None:
         for d in talk.drafts:
-            value = tuple(d[n] for n in ["message", "created", "nudged", "flow_state", *DRAFT_FIELDS])
-            self.drafts.updateValue((d["draft_id"],), value)
+            value = tuple(d[n] for n in _STATE)
+            if self.loaded.get(d["draft_id"]) != value:  # entries that didn't change are not written again
+                self.drafts.updateValue((d["draft_id"],), value)
         for gone in self.before[0] - {d["draft_id"] for d in talk.drafts}:
             self.drafts.removeKey((gone,))
         for b in talk.bills:
-            self.bills.updateValue((b["draft_id"],), (b["at"], b["auto"]))
+            if b["draft_id"] not in self.before[1]:
+                self.bills.updateValue((b["draft_id"],), (b["at"], b["auto"]))
         for gone in self.before[1] - {b["draft_id"] for b in talk.bills}:
             self.bills.removeKey((gone,))
         # All of them at once: one registered while timers fire waits for the next batch.
@@ -206,15 +216,11 @@ class DraftProcessor(StatefulProcessor):
 def draft_stream(messages: DataFrame, settings: Settings = DEFAULTS, lateness: str = "10 minutes") -> DataFrame:
     """The life cycle of drafts over a stream of messages.
 
-    Retried deliveries are dropped within the watermark; a repeat that comes
-    later meets the live-draft check of the step itself.
+    A retried delivery meets the live-draft check of the step itself: while the
+    draft is open it is a retry, and once it is decided the message counts anew.
     """
-    unique = (
-        messages.withColumn("wa_received_at", F.col("wa_received_at").cast("timestamp"))
-        .withWatermark("wa_received_at", lateness)
-        .dropDuplicatesWithinWatermark(["user_phone", "wa_message_id"])
-    )
-    prepared = prepare_stream(unique)
+    timed = messages.withColumn("wa_received_at", F.col("wa_received_at").cast("timestamp"))
+    prepared = prepare_stream(timed.withWatermark("wa_received_at", lateness))
     steps = prepared.groupBy("user_phone").transformWithStateInPandas(
         statefulProcessor=DraftProcessor(settings),
         outputStructType=STEP_SCHEMA,
@@ -227,7 +233,7 @@ def draft_stream(messages: DataFrame, settings: Settings = DEFAULTS, lateness: s
 def prepare_stream(messages: DataFrame) -> DataFrame:
     """As ``prepare``, keeping the watermarked column the timers follow."""
     names = ["wa_received_at", *MESSAGE_COLUMNS]
-    kept = messages.withColumn("message", F.col("wa_message_id"))
+    kept = _with_registration(messages).withColumn("message", F.col("wa_message_id"))
     text = strip(F.col("text"))
     return kept.select(
         *[F.col(c) for c in kept.columns if c not in ("images", "auto_ok", "wa_message_id")],

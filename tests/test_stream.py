@@ -63,12 +63,17 @@ def test_conversations(spark):
         text("e", "e2", 1, "1"),
         text("e", "e3", 2, "next"),
         text("e", "e4", 3, "help"),
+        photo("f", "f1", 0, images=2),
+        text("f", "f2", 1, "1"),
+        text("f", "f3", 7, "next"),
     ]
     events, got = run(spark, rows)
     assert events["a"] == [
         (-5, "onboarded"), (0, "awaiting_confirm"), (1, "retry"), (2, "confirmed"), (3, "awaiting_confirm"),
         (4, "skipped"), (5, "undone"), (6, "undo_nothing"),
     ]
+    # Gone past its time of reminder while queued: reminded when it becomes active.
+    assert [(m, e) for m, e in events["f"] if e in ("promoted", "nudged", "expired")] == [(7, "nudged"), (7, "promoted"), (10, "expired")]
     assert events["b"] == [
         (0, "awaiting_confirm"), (0, "onboarded"), (1, "editing"), (2, "edit_refused"), (3, "edited"), (4, "editing"),
         (5, "edited"), (6, "nudged"), (10, "expired"),
@@ -83,6 +88,12 @@ def test_conversations(spark):
     assert edited[1]["vendor"] == "New Name"
 
 
+def test_an_unregistered_business_pays_no_gst(spark):
+    rows = spark.createDataFrame([photo("a", "a1", 0), photo("b", "b1", 0)], SCHEMA)
+    out = jobs.replay(rows.withColumn("gst_registered", F.col("user_phone") == "a")).filter("event = 'awaiting_confirm'")
+    assert {r["user_phone"]: r["gst"] for r in out.collect()} == {"a": 10.0, "b": None}
+
+
 def _rows(df):
     return sorted(tuple(r) for r in df.select([F.col(c).cast("string") for c in df.columns]).na.fill("-").collect())
 
@@ -122,6 +133,9 @@ def test_stream_equals_replay(spark, sf_dir, files):
     got = spark.read.parquet(folder + "/out").filter("user_phone <> 'zz'")
     want = jobs.replay(messages)
     assert got.count() > 300
+    # Resends are in the data: while a draft is open they are retries, later they count anew.
+    again = messages.groupBy("user_phone", "wa_message_id").count().filter("count > 1")
+    assert again.count() > 5 and want.filter("event = 'retry'").count() > 0
     assert _rows(got) == _rows(want)
 
 
