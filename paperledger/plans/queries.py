@@ -17,6 +17,7 @@ from paperledger.operators import analytics as A
 from paperledger.operators import duplicates as D
 from paperledger.operators import evaluate as E
 from paperledger.operators import ledger as L
+from paperledger.operators import pipeline as P
 from paperledger.operators import reports as R
 from paperledger.operators.extract import extract_bills
 from paperledger.operators.vendors import merge_known_vendors, newest_logged_vendors, resolve_vendors
@@ -887,6 +888,65 @@ def draft_replay(spark, d):
     return jobs.replay(_inbound(spark, d))
 
 
+_PHOTOS = """
+with photos as (select cast(user_id as varchar) as user_phone, user_id, event_id, ts, event_id % 3 as v, event_id % 4 as a from events where event_type = 'purchase'),
+logged as (select * from photos qualify row_number() over (partition by user_phone, v, a order by ts, event_id) = 1),
+deletes as (select user_phone, max(ts) + interval 20 minute as asked from photos where user_id % 2 = 1 group by 1),
+gone as (select user_phone, arg_max(event_id, (ts, event_id)) as event_id from logged join deletes using (user_phone)
+  where epoch_ms(ts) >= epoch_ms(asked) - 86400000 group by 1)
+"""
+
+
+def _photo_messages(spark, d):
+    """Photos with a stored answer from few vendors and amounts, so that many are copies; odd users undo once at the end."""
+    e = VW.table(spark, d, "events").filter("event_type = 'purchase'").withColumn("ts", F.col("ts").cast("timestamp"))
+    key = F.col("event_id")
+    answer = F.concat(
+        F.lit('{"amount": '), ((key % 4 + 1) * 11).cast("string"), F.lit(', "date": "'), F.date_format("ts", "dd/MM/yyyy"),
+        F.lit('", "vendor": "Shop '), F.element_at(F.array(*map(F.lit, ("Alder", "Birch", "Cedar"))), (key % 3 + 1).cast("int")),
+        F.lit('", "gst_basis": "inclusive", "confidence": "high"}'),
+    )
+    none = F.lit(None).cast("string")
+    photos = e.select(
+        F.col("user_id").cast("string").alias("user_phone"), F.lpad(key.cast("string"), 12, "0").alias("wa_message_id"),
+        F.col("ts").alias("wa_received_at"), F.lit("photo").alias("kind"), F.array(F.lit("p")).alias("image_urls"),
+        none.alias("text"), none.alias("ocr_text"), answer.alias("answer"),
+    )
+    last = e.filter("user_id % 2 = 1").groupBy("user_id").agg(F.max("ts").alias("ts"))
+    deletes = last.select(
+        F.col("user_id").cast("string").alias("user_phone"), F.lit("delete").alias("wa_message_id"),
+        (F.col("ts") + F.expr("interval 20 minutes")).alias("wa_received_at"), F.lit("text").alias("kind"),
+        F.array().cast("array<string>").alias("image_urls"), F.lit("delete").alias("text"), none.alias("ocr_text"), none.alias("answer"),
+    )
+    return photos.unionByName(deletes)
+
+
+def _tenants(spark, d):
+    users = VW.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("user_phone"), F.col("c_nationkey").alias("business_id"))
+    key = F.col("n_nationkey")
+    businesses = VW.table(spark, d, "nation").select(
+        key.alias("business_id"), (key % 3 != 0).alias("gst_registered"), F.lit(True).alias("auto_save"), F.lit("Australia/Perth").alias("timezone")
+    )
+    return users, businesses
+
+
+@query(_PHOTOS + """
+select l.user_phone, lpad(cast(l.event_id as varchar), 12, '0') || '/0' as draft_id, case when g.event_id is not null then 'deleted' else 'logged' end as status,
+  (a + 1) * 11::double as amount, case when coalesce(c_nationkey % 3 <> 0, true) then (a + 1)::double end as gst,
+  'Shop ' || ['Alder', 'Birch', 'Cedar'][v + 1] as vendor, strftime(ts, '%Y-%m-%d') as date
+from logged l left join gone g on g.user_phone = l.user_phone and g.event_id = l.event_id left join customer on c_custkey = l.user_id""")
+def ledger_from_messages(spark, d):
+    out = P.ledger_from_messages(_photo_messages(spark, d), *_tenants(spark, d), image_answer=F.col("answer"))
+    money = lambda c: F.col(c).cast("double").alias(c)
+    return out.select("user_phone", "draft_id", "status", money("amount"), money("gst"), "vendor", "date")
+
+
+@query("select cast(user_id as varchar) as user_phone, count(*) as contacts from (select distinct user_id from events) group by 1")
+def first_contacts(spark, d):
+    onboarded = jobs.replay(_inbound(spark, d)).filter("event = 'onboarded'")
+    return onboarded.groupBy("user_phone").agg(F.count("*").alias("contacts"))
+
+
 @query("""
 select cast(user_id as varchar) as user_phone, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') as minute, count(*) as messages,
   count(*) > 1 as over_limit, count(*) > 2 as over_burst from events group by 1, 2""")

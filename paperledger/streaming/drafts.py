@@ -11,26 +11,70 @@ from dataclasses import dataclass, field
 
 from paperledger.config import DEFAULTS, Settings
 
-DRAFT_FIELDS = ["amount", "amount_conf", "date", "date_conf", "vendor", "gst_basis", "gst_registered"]
+DRAFT_FIELDS = ["amount", "amount_conf", "date", "date_conf", "vendor", "gst_basis", "gst_registered", "invoice_number"]
 EDITS = {"2": "amount", "3": "vendor", "5": "date"}
 COMMANDS = {"help", "setup", "autosave on", "autosave off"}
 MINUTE = 60_000
 
 
+BILL_KEYS = ["vendor", "amount", "invoice_number"]
+
+
+def _keys(bill: dict) -> list[tuple]:
+    """What makes another bill a copy of this one; a missing value matches nothing."""
+    keys = []
+    if bill["invoice_number"] is not None:
+        keys.append(("invoice", bill["invoice_number"]))
+    if bill["vendor"] is not None and bill["amount"] is not None:
+        keys.append(("pair", bill["vendor"], bill["amount"]))
+    return keys
+
+
 @dataclass
 class Conversation:
-    """Open drafts and recently logged bills of one user; times in milliseconds."""
+    """Open drafts and logged bills of one user; times in milliseconds.
+
+    Bills are kept for as long as the duplicate gate looks back. ``gate`` off
+    keeps only what an undo can reach and logs copies like any other bill.
+    """
 
     user: str
     settings: Settings = DEFAULTS
+    gate: bool = True
     drafts: list[dict] = field(default_factory=list)
     bills: list[dict] = field(default_factory=list)
     out: list[dict] = field(default_factory=list)
+    held: dict[tuple, set[tuple[int, str]]] = field(default_factory=dict)
+
+    def keep_bill(self, bill: dict) -> None:
+        """Add a logged bill; ``held`` finds it again by invoice and by vendor and amount."""
+        self.bills.append(bill)
+        for key in _keys(bill):
+            self.held.setdefault(key, set()).add((bill["at"], bill["draft_id"]))
+
+    def _drop_bill(self, bill: dict) -> None:
+        self.bills.remove(bill)
+        for key in _keys(bill):
+            self.held[key].discard((bill["at"], bill["draft_id"]))
+            if not self.held[key]:
+                del self.held[key]
+
+    def copy_of(self, draft: dict) -> str | None:
+        """The logged bill that this draft repeats: same invoice, or same vendor and amount."""
+        for key in _keys(draft) if self.gate else ():
+            if self.held.get(key):
+                return max(self.held[key])[1]
+        return None
+
+    @property
+    def bill_life(self) -> int:
+        s = self.settings
+        return (max(s.undo_auto_hours, 24 * s.duplicate_days) if self.gate else s.undo_auto_hours) * 60 * MINUTE
 
     def _emit(self, at: int, event: str, draft: dict | None = None, **more) -> None:
         row = {"user_phone": self.user, "at": at, "event": event, "draft_id": None, "flow_state": None}
         row.update({f: None for f in DRAFT_FIELDS})
-        row["auto"] = None
+        row["auto"] = row["duplicate_of"] = None
         if draft is not None:
             row.update({k: draft[k] for k in ["draft_id", "flow_state", *DRAFT_FIELDS]})
         row.update(more)
@@ -56,14 +100,15 @@ class Conversation:
             self._emit(at, event, d if event == "nudged" else {**d, "flow_state": None})
             if event == "expired":
                 self.drafts.remove(d)
-        day = self.settings.undo_auto_hours * 60 * MINUTE
-        self.bills = [b for b in self.bills if b["at"] >= now - day]
+        while self.bills and self.bills[0]["at"] < now - self.bill_life:
+            self._drop_bill(self.bills[0])
 
     def timers(self) -> list[int]:
         """Every moment at which something happens to an open draft by itself."""
         s = self.settings
         reminders = [max(d["created"] + s.nudge_delay_minutes * MINUTE, d["active"]) for d in self.drafts]
-        return reminders + [d["created"] + s.draft_minutes * MINUTE for d in self.drafts]
+        forgotten = [self.bills[0]["at"] + self.bill_life + 1] if self.bills else []
+        return reminders + [d["created"] + s.draft_minutes * MINUTE for d in self.drafts] + forgotten
 
     def handle(self, m: dict, first: bool) -> None:
         """Apply one message."""
@@ -102,14 +147,15 @@ class Conversation:
                 flow_state="awaiting_confirm" if i == 0 else "queued",
             )
             self.drafts.append(draft)
-            if i == 0 and m["auto_ok"]:
+            copy = self.copy_of(draft) if i == 0 and m["auto_ok"] else None
+            if i == 0 and m["auto_ok"] and copy is None:
                 self._log(draft, m["at"], auto=True)
             else:
-                self._emit(m["at"], draft["flow_state"], draft)
+                self._emit(m["at"], draft["flow_state"], draft, duplicate_of=copy)
 
     def _log(self, draft: dict, at: int, auto: bool) -> None:
         self.drafts.remove(draft)
-        self.bills.append({"draft_id": draft["draft_id"], "at": at, "auto": auto})
+        self.keep_bill({"draft_id": draft["draft_id"], "at": at, "auto": auto, **{f: draft[f] for f in BILL_KEYS}})
         self._emit(at, "auto_logged" if auto else "confirmed", {**draft, "flow_state": None}, auto=auto)
 
     def _reply(self, draft: dict, text: str, m: dict) -> None:
@@ -148,14 +194,15 @@ class Conversation:
         self._emit(now, "promoted", oldest)
 
     def _undo(self, now: int) -> None:
-        if not self.bills:
+        s = self.settings
+        recent = [b for b in self.bills if b["at"] >= now - s.undo_auto_hours * 60 * MINUTE]
+        if not recent:
             self._emit(now, "undo_nothing")
             return
-        newest = max(self.bills, key=lambda b: (b["at"], b["draft_id"]))
-        s = self.settings
+        newest = max(recent, key=lambda b: (b["at"], b["draft_id"]))
         limit = s.undo_auto_hours * 60 * MINUTE if newest["auto"] else s.undo_confirm_minutes * MINUTE
         if newest["at"] < now - limit:
             self._emit(now, "undo_too_late", draft_id=newest["draft_id"])
             return
-        self.bills.remove(newest)
+        self._drop_bill(newest)
         self._emit(now, "undone", draft_id=newest["draft_id"])

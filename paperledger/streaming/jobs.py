@@ -12,10 +12,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from paperledger.config import DEFAULTS, Settings
 from paperledger.functions.values import compute_gst, gate_from, normalise_date, parse_amount, strip, unit_length
-from paperledger.streaming.drafts import DRAFT_FIELDS, MINUTE, Conversation
+from paperledger.streaming.drafts import BILL_KEYS, DRAFT_FIELDS, MINUTE, Conversation
 
-_DRAFT = "amount double, amount_conf double, date string, date_conf double, vendor string, gst_basis string, gst_registered boolean"
-_TYPES = [T.DoubleType(), T.DoubleType(), T.StringType(), T.DoubleType(), T.StringType(), T.StringType(), T.BooleanType()]
+_DRAFT = "amount double, amount_conf double, date string, date_conf double, vendor string, gst_basis string, gst_registered boolean, invoice_number string"
+_BILL = "at bigint, auto boolean, vendor string, amount double, invoice_number string"
+_TYPES = [T.DoubleType(), T.DoubleType(), T.StringType(), T.DoubleType(), T.StringType(), T.StringType(), T.BooleanType(), T.StringType()]
 _STATE = ["message", "created", "active", "nudged", "flow_state", *DRAFT_FIELDS]
 STEP_SCHEMA = T.StructType(
     [
@@ -26,6 +27,7 @@ STEP_SCHEMA = T.StructType(
         T.StructField("flow_state", T.StringType()),
         *[T.StructField(name, kind) for name, kind in zip(DRAFT_FIELDS, _TYPES)],
         T.StructField("auto", T.BooleanType()),
+        T.StructField("duplicate_of", T.StringType()),
     ]
 )
 MESSAGE_COLUMNS = ["user_phone", "message", "at", "kind", "text", "images", "auto_ok", *DRAFT_FIELDS,
@@ -36,7 +38,8 @@ def prepare(messages: DataFrame) -> DataFrame:
     """Normalised messages with a graded reading to the columns a step needs.
 
     Expected: user_phone, wa_message_id, wa_received_at, kind, text, images,
-    auto_ok and the draft fields; ``gst_registered`` is true where it is missing.
+    auto_ok and the draft fields; ``gst_registered`` is true and
+    ``invoice_number`` null where the column is missing.
     Typed corrections are validated here, as columns.
     """
     text = strip(F.col("text"))
@@ -58,7 +61,8 @@ def prepare(messages: DataFrame) -> DataFrame:
 
 def _with_registration(messages: DataFrame) -> DataFrame:
     given = F.col("gst_registered") if "gst_registered" in messages.columns else F.lit(None).cast("boolean")
-    return messages.withColumn("gst_registered", F.coalesce(given, F.lit(True)))
+    invoice = F.col("invoice_number") if "invoice_number" in messages.columns else F.lit(None).cast("string")
+    return messages.withColumns({"gst_registered": F.coalesce(given, F.lit(True)), "invoice_number": invoice})
 
 
 def finish(steps: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -85,6 +89,8 @@ def finish(steps: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
         F.when(F.col("amount_conf").isNotNull(), graded).alias("gate"),
         compute_gst(F.col("amount"), F.col("gst_basis"), F.coalesce("gst_registered", F.lit(True))).alias("gst"),
         "auto",
+        "invoice_number",
+        "duplicate_of",
     )
 
 
@@ -97,16 +103,20 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
     return frame.astype({"auto": "object", "gst_registered": "object"})
 
 
-def replay(messages: DataFrame, settings: Settings = DEFAULTS, chunk_hours: int = 24) -> DataFrame:
+def replay(messages: DataFrame, settings: Settings = DEFAULTS, chunk_hours: int | None = None) -> DataFrame:
     """All steps of a static message table, as the stream would emit them.
 
-    A user's time line is cut into chunks that run in parallel. What a chunk
-    needs from the past is bounded: drafts live ten minutes and an undo reaches
-    back a day, and in both the newest entry is decided before older ones. So
-    each chunk first replays that much of the time before it and emits nothing
-    for it. Rows stream through each task in time order; no group is held whole.
+    Rows stream through each task in time order; no group is held whole. With
+    the duplicate gate, whether a bill is logged depends on all earlier ones of
+    its user, so a user is one time line, of which a task keeps the bills of the
+    last 90 days. ``chunk_hours`` leaves the gate out and cuts a user's time
+    into chunks that run in parallel. What a chunk then needs from the past is
+    bounded: drafts live ten minutes and an undo reaches back a day, and in both
+    the newest entry is decided before older ones. So each chunk first replays
+    that much of the time before it and emits nothing for it.
     """
-    chunk = chunk_hours * 60 * MINUTE
+    gate = chunk_hours is None
+    chunk = (chunk_hours or 24 * 366 * 10_000) * 60 * MINUTE
     warmup = (settings.undo_auto_hours * 60 + 2 * settings.draft_minutes) * MINUTE
     first = F.min_by("message", F.struct("at", "message")).alias("__first")
     prepared = prepare(messages)
@@ -137,7 +147,10 @@ def replay(messages: DataFrame, settings: Settings = DEFAULTS, chunk_hours: int
                     if talk is not None:
                         talk.advance((current[1] + 1) * chunk - 1)
                         rows += kept(talk.take())
-                    current, talk = key, Conversation(key[0], settings)
+                        if len(rows) >= 10_000:
+                            yield _frame(rows)
+                            rows = []
+                    current, talk = key, Conversation(key[0], settings, gate)
                 talk.handle(_plain(m), bool(m["first"]))
                 rows += kept(talk.take())
             yield _frame(rows)
@@ -149,7 +162,7 @@ def replay(messages: DataFrame, settings: Settings = DEFAULTS, chunk_hours: int
 
 
 class DraftProcessor(StatefulProcessor):
-    """Keyed state of the stream: open drafts, bills of the last day, first contact."""
+    """Keyed state of the stream: open drafts, bills of the last 90 days, first contact."""
 
     def __init__(self, settings: Settings = DEFAULTS) -> None:
         self.settings = settings
@@ -161,17 +174,19 @@ class DraftProcessor(StatefulProcessor):
             "draft_id string",
             f"message string, created bigint, active bigint, nudged boolean, flow_state string, {_DRAFT}",
         )
-        self.bills = handle.getMapState("bills", "draft_id string", "at bigint, auto boolean")
+        self.bills = handle.getMapState("bills", "draft_id string, at bigint", _BILL)
         self.seen = handle.getValueState("seen", "seen boolean")
 
     def _load(self, user: str) -> Conversation:
         talk = Conversation(user, self.settings)
         for key, value in self.drafts.iterator():
             talk.drafts.append({"draft_id": key[0], **dict(zip(_STATE, value))})
-        for key, value in self.bills.iterator():
-            talk.bills.append({"draft_id": key[0], "at": value[0], "auto": value[1]})
+        names = ["at", "auto", *BILL_KEYS]
+        found = [{"draft_id": key[0], **dict(zip(names, value))} for key, value in self.bills.iterator()]
+        for bill in sorted(found, key=lambda b: (b["at"], b["draft_id"])):
+            talk.keep_bill(bill)
         self.loaded = {d["draft_id"]: tuple(d[n] for n in _STATE) for d in talk.drafts}
-        self.before = ({d["draft_id"] for d in talk.drafts}, {b["draft_id"] for b in talk.bills})
+        self.before = ({d["draft_id"] for d in talk.drafts}, {(b["draft_id"], b["at"]) for b in talk.bills})
         return talk
 
     def _store(self, talk: Conversation, now: int) -> None:
@@ -182,10 +197,10 @@ class DraftProcessor(StatefulProcessor):
         for gone in self.before[0] - {d["draft_id"] for d in talk.drafts}:
             self.drafts.removeKey((gone,))
         for b in talk.bills:
-            if b["draft_id"] not in self.before[1]:
-                self.bills.updateValue((b["draft_id"],), (b["at"], b["auto"]))
-        for gone in self.before[1] - {b["draft_id"] for b in talk.bills}:
-            self.bills.removeKey((gone,))
+            if (b["draft_id"], b["at"]) not in self.before[1]:
+                self.bills.updateValue((b["draft_id"], b["at"]), tuple(b[n] for n in ["at", "auto", *BILL_KEYS]))
+        for gone in self.before[1] - {(b["draft_id"], b["at"]) for b in talk.bills}:
+            self.bills.removeKey(gone)
         # All of them at once: one registered while timers fire waits for the next batch.
         for moment in talk.timers():
             if moment > now:

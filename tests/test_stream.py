@@ -88,6 +88,32 @@ def test_conversations(spark):
     assert edited[1]["vendor"] == "New Name"
 
 
+def test_a_copy_of_a_logged_bill_is_not_logged_by_itself(spark):
+    rows = [
+        photo("a", "a1", 0, auto=True),
+        photo("a", "a1", 3, auto=True),  # sent again after it was logged
+        photo("a", "a2", 60, auto=True),  # another photo of the same bill
+        text("a", "a3", 61, "4"),
+        text("a", "a4", 62, "delete"),
+        photo("a", "a5", 70, auto=True),  # undone, so no copy any more
+        photo("b", "b1", 0, auto=True),
+        photo("b", "b2", 60 * 24 * 90, auto=True),
+        photo("b", "b3", 60 * 24 * 90 + 20, auto=True),  # beyond 90 days of the first
+    ]
+    out = jobs.replay(spark.createDataFrame(rows, SCHEMA))
+    minute = (F.unix_seconds("at") - F.unix_seconds(F.lit(START))) / 60
+    got = {}
+    for r in out.filter("event in ('auto_logged', 'awaiting_confirm', 'undone')").orderBy("at").select("user_phone", minute.alias("m"), "event", "duplicate_of").collect():
+        got.setdefault(r[0], []).append(tuple(r)[1:])
+    assert got["a"] == [(0, "auto_logged", None), (3, "awaiting_confirm", "a1/0"), (60, "awaiting_confirm", "a1/0"), (62, "undone", None), (70, "auto_logged", None)]
+    day = 60 * 24 * 90
+    assert got["b"] == [(0, "auto_logged", None), (day, "awaiting_confirm", "b1/0"), (day + 20, "auto_logged", None)]
+    from paperledger.operators.pipeline import fold_steps
+
+    ledger = sorted((r["user_phone"], r["draft_id"], r["status"]) for r in fold_steps(out).collect())
+    assert ledger == [("a", "a1/0", "deleted"), ("a", "a5/0", "logged"), ("b", "b1/0", "logged"), ("b", "b3/0", "logged")]
+
+
 def test_an_unregistered_business_pays_no_gst(spark):
     rows = spark.createDataFrame([photo("a", "a1", 0), photo("b", "b1", 0)], SCHEMA)
     out = jobs.replay(rows.withColumn("gst_registered", F.col("user_phone") == "a")).filter("event = 'awaiting_confirm'")
