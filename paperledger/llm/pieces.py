@@ -11,10 +11,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperledger.llm.common import text_of
+from paperledger.llm.common import Remembered, text_of
 
 #: Segmentations that are returned; chunks whose segmentations a worker remembers.
-BEST, MEMORY = 3, 150_000
+BEST, MEMORY = 3, 200_000
 
 #: No piece goes on behind a blank that follows another character, so texts are sums of such chunks.
 _CHUNK = re.compile(" +[^ ]*|[^ ]+")
@@ -94,21 +94,16 @@ def n_best(chunk: str, words: Vocabulary, n: int) -> list[tuple[float, bytes]]:
     return out
 
 
-class Encoder(dict):
-    """Chunks to their segmentations: best ids, best score, loss of the second best, all."""
+class Encoder:
+    """Texts to their segmentations; of chunks: best ids, best score, loss of the second best, all."""
 
     def __init__(self, words: Vocabulary, n: int):
-        super().__init__()
         self.words, self.n = words, n
+        self.chunks = Remembered(self._chunk, MEMORY)
 
-    def __missing__(self, chunk: str):
+    def _chunk(self, chunk: str):
         found = n_best(chunk, self.words, self.n)
-        entry = found[0][1], found[0][0], found[0][0] - found[1][0] if len(found) > 1 else float("inf"), found
-        if len(chunk) <= 64:
-            if len(self) >= MEMORY:
-                self.clear()
-            self[chunk] = entry
-        return entry
+        return found[0][1], found[0][0], found[0][0] - found[1][0] if len(found) > 1 else float("inf"), found
 
     def encode(self, text: str) -> list[tuple[float, bytes]]:
         """The ``n`` best segmentations of a whole text.
@@ -118,7 +113,7 @@ class Encoder(dict):
         """
         if not text:
             return [(0.0, b"")]
-        chunks = [self[chunk] for chunk in _CHUNK.findall(" " + text)]
+        chunks = list(map(self.chunks.__getitem__, _CHUNK.findall(" " + text)))
         score = sum(entry[1] for entry in chunks)
         losses = np.array([entry[2] for entry in chunks])
         few = np.sort(np.argsort(losses, kind="stable")[: self.n - 1])
