@@ -47,13 +47,25 @@ def daily_net(summary: DataFrame) -> DataFrame:
     )
 
 
-def search(bills: DataFrame, word: str, user: str = "user_id", n: int = 5) -> DataFrame:
-    """Newest bills per user whose vendor, category or month fits the word."""
-    w = word.strip().lower()
-    vendor = F.lower("vendor")
+def _fits(w: str) -> Column:
+    """Whether vendor (one letter may be wrong), category, month or amount of a bill is ``w``."""
+    vendor = F.coalesce(F.lower("vendor"), F.lit(""))
     near = F.exists(F.split(vendor, r"\s+"), lambda x: F.levenshtein(x, F.lit(w), 1) >= 0)
     month = F.lower(F.date_format("confirmed_at", "MMMM")) == w
     hit = F.contains(vendor, F.lit(w)) | near | (category_name() == w) | month | (month_key(F.col("confirmed_at")) == w)
+    try:
+        return hit | F.coalesce(F.col("amount") == float(w.lstrip("$").replace(",", "")), F.lit(False))
+    except ValueError:
+        return hit
+
+
+def search(bills: DataFrame, words: str, user: str = "user_id", n: int = 5) -> DataFrame:
+    """Newest bills per user that each of the words fits; a leading ``find`` or ``show`` is the command."""
+    asked = words.strip().lower().split()
+    asked = asked[1:] if asked[:1] in (["find"], ["show"]) else asked
+    hit = F.lit(True)
+    for w in asked:
+        hit = hit & _fits(w)
     order = Window.partitionBy(user).orderBy(F.desc("confirmed_at"), F.desc("bill_id"))
     found = logged(bills).filter(hit).withColumn("rank", F.row_number().over(order).cast("bigint"))
     return found.filter(F.col("rank") <= n)
@@ -80,12 +92,25 @@ def due_alerts(bills: DataFrame, as_of: Column, days: int = 3) -> DataFrame:
     return near.withColumn("alert", F.when(F.col("due_date") < today, "overdue").otherwise("due_soon"))
 
 
+PERIODS = {"weekly": "7 days", "fortnightly": "14 days", "monthly": "1 month", "quarterly": "3 months", "yearly": "1 year"}
+
+
 def expand_recurring(rules: DataFrame, until: Column) -> DataFrame:
-    """Dated payments of monthly rules from their first day on."""
-    days = F.sequence(F.col("first_day").cast("date"), until.cast("date"), F.expr("interval 1 month"))
-    started = rules.filter(F.col("first_day").cast("date") <= until.cast("date"))
-    return started.select("rule_id", "user_id", "vendor", "amount", F.explode(days).alias("pay_day")).select(
-        F.concat_ws("/", F.lit("rule"), F.col("rule_id").cast("string"), F.date_format("pay_day", "yyyy-MM")).alias("payment_id"),
+    """Dated payments of rules from their first day on; a rule without ``period`` is monthly.
+
+    A payment's id names its rule and day (its month, where there is one in a
+    month at most), so that it is the same however often rules are expanded.
+    """
+    if "period" not in rules.columns:
+        rules = rules.withColumn("period", F.lit("monthly"))
+    first, last, period = F.col("first_day").cast("date"), until.cast("date"), F.coalesce("period", F.lit("monthly"))
+    days = F.lit(None).cast("array<date>")
+    for name, step in PERIODS.items():
+        days = F.when(period == name, F.sequence(first, last, F.expr(f"interval {step}"))).otherwise(days)
+    started = rules.filter(first <= last)
+    shape = F.when(F.col("period").isin("weekly", "fortnightly"), F.date_format("pay_day", "yyyy-MM-dd")).otherwise(F.date_format("pay_day", "yyyy-MM"))
+    return started.select("rule_id", "user_id", "vendor", "amount", period.alias("period"), F.explode(days).alias("pay_day")).select(
+        F.concat_ws("/", F.lit("rule"), F.col("rule_id").cast("string"), shape).alias("payment_id"),
         "rule_id",
         "user_id",
         "vendor",
@@ -94,6 +119,11 @@ def expand_recurring(rules: DataFrame, until: Column) -> DataFrame:
     )
 
 
+def due_payments(payments: DataFrame, posted: DataFrame) -> DataFrame:
+    """Payments that were not posted before; ``posted`` has their ``payment_id``."""
+    return payments.join(posted.select("payment_id"), "payment_id", "left_anti")
+
+
 def cash_flow(bills: DataFrame, first: Column, last: Column) -> DataFrame:
     """Incoming and outgoing money per day, zero-filled."""
     day = F.to_date("confirmed_at")

@@ -104,6 +104,25 @@ def last_seven_days(spark, d):
     return A.last_days(A.logged(VW.ledger(spark, d)), _ts(AS_OF))
 
 
+@query("""
+with rules as (select c_custkey, date '2024-01-01' + cast(c_custkey % 28 as int) as first_day, c_custkey % 3 as p from customer),
+days as (select c_custkey, p, unnest(generate_series(cast(first_day as timestamp), timestamp '2024-06-15', interval 7 day)) as day from rules where p = 0
+  union all select c_custkey, p, unnest(generate_series(cast(first_day as timestamp), timestamp '2024-06-15', interval 14 day)) from rules where p = 1
+  union all select c_custkey, p, unnest(generate_series(cast(first_day as timestamp), timestamp '2024-06-15', interval 3 month)) from rules where p = 2)
+select 'rule/' || c_custkey || '/' || case p when 2 then strftime(day, '%Y-%m') else strftime(day, '%Y-%m-%d') end as payment_id, c_custkey as user_id
+from days where day > timestamp '2024-03-31'""")
+def due_recurring(spark, d):
+    # What was posted up to the end of March comes from the same rules.
+    key = F.col("c_custkey")
+    rules = VW.table(spark, d, "customer").select(
+        key.alias("rule_id"), key.alias("user_id"), F.lit("Old Mill").alias("vendor"), F.col("c_acctbal").alias("amount"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (key % 28).cast("int")).alias("first_day"),
+        F.when(key % 3 == 0, "weekly").when(key % 3 == 1, "fortnightly").otherwise("quarterly").alias("period"),
+    )
+    posted = R.expand_recurring(rules, _ts("2024-03-31 00:00:00"))
+    return R.due_payments(R.expand_recurring(rules, _ts("2024-06-15 00:00:00")), posted).select("payment_id", "user_id")
+
+
 @query(LEDGER + """
 select strftime(s.day, '%Y-%m-%d') as day, count(bill_id) as bills, cast(coalesce(sum(amount), 0) as double) as amount
 from (select unnest(generate_series(date '1996-02-01', date '1996-02-29', interval 1 day)) as day) s
@@ -1013,6 +1032,25 @@ def tax_quarters(spark, d):
     return R.tax_quarters(VW.ledger(spark, d))
 
 
+@query(LEDGER + """
+select user_id, bill_id, rank from (select *, row_number() over (partition by user_id order by confirmed_at desc, bill_id desc) as rank
+from logged where category = 'utilities' and month(confirmed_at) = 8) where rank <= 5""")
+def search_two_words(spark, d):
+    return R.search(VW.ledger(spark, d), "show August utilities").select("user_id", "bill_id", "rank")
+
+
+@query(LEDGER + """
+, q as (select business_id, year(confirmed_at) || '-Q' || quarter(confirmed_at) as quarter,
+  case when bill_id % 4 = 0 then 'unknown' else cast(51824753550 + bill_id % 7 as varchar) end as party, type, gst from logged where gst is not null)
+select business_id, quarter, coalesce(party, 'all') as party, cast(coalesce(sum(gst) filter (type = 'incoming'), 0) as double) as collected,
+  cast(coalesce(sum(gst) filter (type = 'outgoing'), 0) as double) as paid, count(*) as bills
+from q group by grouping sets ((business_id, quarter, party), (business_id, quarter))""")
+def tax_by_abn(spark, d):
+    key = F.col("bill_id")
+    abn = F.when(key % 4 != 0, (F.lit(51824753550) + key % 7).cast("string"))
+    return R.tax_quarters(VW.ledger(spark, d).withColumn("abn", abn), "abn")
+
+
 @query(LEDGER + f"""
 select bill_id, case when cast(confirmed_at as date) + 30 < date '{AS_OF[:10]}' then 'overdue' else 'due_soon' end as alert
 from ledger where status = 'logged' and cast(confirmed_at as date) + 30 <= date '{AS_OF[:10]}' + 3""")

@@ -261,10 +261,15 @@ def prepare_stream(messages: DataFrame) -> DataFrame:
     ).select(*names)
 
 
-def rate_per_minute(messages: DataFrame, limit: int = 30, burst: int = 60) -> DataFrame:
-    """Messages per user and minute with both limits; works on streams and tables."""
-    minute = F.window(F.col("wa_received_at").cast("timestamp"), "1 minute")
-    counted = messages.groupBy("user_phone", minute).agg(F.count("*").alias("messages"))
+def rate_per_minute(messages: DataFrame, limit: int = 30, burst: int = 60, lateness: str = "10 minutes") -> DataFrame:
+    """Messages per user and minute with both limits; works on streams and tables.
+
+    A stream gives a minute's count once the watermark has passed it.
+    """
+    timed = messages.withColumn("wa_received_at", F.col("wa_received_at").cast("timestamp"))
+    timed = timed.withWatermark("wa_received_at", lateness) if messages.isStreaming else timed
+    minute = F.window("wa_received_at", "1 minute")
+    counted = timed.groupBy("user_phone", minute).agg(F.count("*").alias("messages"))
     return counted.select(
         "user_phone",
         F.col("window.start").alias("minute"),

@@ -307,3 +307,14 @@ def test_plans_keep_their_shape(spark, sf_dir):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan("garbage_texts")
     for name in ("totals_by_user", "daily_summary", "visible_bills", "auto_log_decision"):
         assert "CartesianProduct" not in plan(name) and "NestedLoop" not in plan(name), name
+
+
+def test_search_by_several_words(spark):
+    from paperledger.operators import reports as R
+
+    rows = [(1, "City Water", "utilities", 90.0, 8), (2, "City Water", "utilities", 91.0, 7), (3, "Harbour Gas", "rent", 1250.5, 8), (4, None, None, 5.0, 8)]
+    made = [(i, "u", v, c, a, "logged", datetime(2025, m, 3)) for i, v, c, a, m in rows]
+    bills = spark.createDataFrame(made, "bill_id int, user_id string, vendor string, category string, amount double, status string, confirmed_at timestamp")
+    found = lambda words: {r["bill_id"] for r in R.search(bills, words).collect()}
+    assert found("show august utilities") == {1} and found("find watr") == {1, 2} and found("august") == {1, 3, 4}
+    assert found("$1,250.50") == {3} and found("city gas") == set()

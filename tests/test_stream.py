@@ -182,3 +182,26 @@ def test_message_source_as_stream(spark, sf_dir):
     assert query.awaitTermination(60)
     usable = views.table(spark, sf_dir, "events").filter("event_type in ('purchase', 'click', 'view')").count()
     assert spark.read.parquet(folder + "/out").count() == usable
+
+
+def test_rates_as_stream_equal_the_table(spark, sf_dir):
+    from paperledger.plans import views
+
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    events = views.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("user_phone"), F.col("ts").alias("wa_received_at"))
+    # A last message moves the watermark past every minute.
+    late = events.limit(1).withColumns({"user_phone": F.lit("zz"), "wa_received_at": F.lit("2031-01-01").cast(events.schema["wa_received_at"].dataType)})
+    events.coalesce(1).write.parquet(folder + "/in")
+    late.coalesce(1).write.mode("append").parquet(folder + "/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder + "/in")
+    query = (
+        jobs.rate_per_minute(stream, 1, 2)
+        .writeStream.format("parquet")
+        .option("path", folder + "/out")
+        .option("checkpointLocation", folder + "/state")
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
+    assert query.awaitTermination(100)
+    assert _rows(spark.read.parquet(folder + "/out")) == _rows(jobs.rate_per_minute(events, 1, 2))
