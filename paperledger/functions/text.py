@@ -278,10 +278,10 @@ def words_value(words: Column) -> Column:
     )
     start = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("run"))
 
-    def step(state: Column, value: Column) -> Column:
+    def after(state: Column, value: Column) -> Column:
         total, run = state["total"], state["run"]
         scaled = F.when(run == 0, 1.0).otherwise(run) * value
-        # A null value makes both sums null for good.
+        # A null value makes the total null for good.
         return F.when(
             value >= 1000, F.struct((total + scaled).alias("total"), F.lit(0.0).alias("run"))
         ).otherwise(
@@ -291,10 +291,13 @@ def words_value(words: Column) -> Column:
             )
         )
 
-    def total_of(values: Column) -> Column:
-        return F.aggregate(values, start, step, lambda s: s["total"] + s["run"])
+    def step(state: Column, token: Column) -> Column:
+        # The one-element array binds the word's value once; behind a word that is no number, none is looked up.
+        found = F.get(F.transform(F.array(number_word(token)), lambda value: after(state, value)), F.lit(0))
+        return F.when(state["total"].isNotNull(), found).otherwise(state)
 
-    return F.when(F.size(tokens) > 0, total_of(F.transform(tokens, number_word)))
+    total = F.aggregate(tokens, start, step, lambda s: s["total"] + s["run"])
+    return F.when(F.size(tokens) > 0, total)
 
 
 def words_whole(line: Column) -> Column:

@@ -637,6 +637,48 @@ def recommended_thresholds(spark, d):
     return E.recommend(E.sweep(_scored(spark, d))).select("amount_high", "date_high", "vendor_high", "success_rate")
 
 
+_LEVELS = [0.4, 0.7, 0.82, 0.88, 0.93, 0.97]
+_GRADED = f"""
+with conf as (select event_id as id, {_LEVELS}[event_id % 6 + 1] as c1, {_LEVELS}[event_id // 6 % 6 + 1] as c2, {_LEVELS}[event_id // 36 % 6 + 1] as c3 from events),
+judged as (select *, not (id % 5 = 0 and c1 < 0.9) as ok_amount, not (id % 9 = 0 and c2 < 0.87) as ok_date, not (id % 3 = 0 and c3 < 0.85) as ok_vendor from conf),
+combos as (select a as amount_high, b as date_high, c as vendor_high,
+    count(*) filter (c1 >= 0.7 and ok_amount and ok_date) / cast(count(*) as double) as success_rate,
+    count(*) filter (c1 >= a and ok_amount) / cast(count(*) filter (c1 >= a) as double) as amount_accuracy,
+    count(*) filter (c2 >= b and ok_date) / cast(count(*) filter (c2 >= b) as double) as date_accuracy,
+    count(*) filter (c3 >= c and ok_vendor) / cast(count(*) filter (c3 >= c) as double) as vendor_accuracy
+  from judged, unnest([0.8::double, 0.85, 0.9, 0.95]) as x(a), unnest([0.75::double, 0.8, 0.85, 0.9, 0.95]) as y(b), unnest([0.6::double, 0.7, 0.75, 0.8, 0.9]) as z(c)
+  group by 1, 2, 3)
+"""
+
+
+def _graded(spark, d):
+    """Scored rows of many confidences, wrong more often where they are low."""
+    key = F.col("event_id")
+    level = lambda k: F.element_at(F.array(*map(F.lit, _LEVELS)), (k % 6 + 1).cast("int"))
+    confs = VW.table(spark, d, "events").select(key, level(key).alias("c1"), level(F.floor(key / 6)).alias("c2"), level(F.floor(key / 36)).alias("c3"))
+    field = lambda c: F.struct(F.lit("x").alias("value"), F.col(c).alias("confidence"))
+    return confs.select(
+        key.alias("id"), F.lit(True).alias("should_log"), F.lit(False).alias("hard"),
+        (~((key % 5 == 0) & (F.col("c1") < 0.9))).alias("ok_amount"), (~((key % 9 == 0) & (F.col("c2") < 0.87))).alias("ok_date"),
+        (~((key % 3 == 0) & (F.col("c3") < 0.85))).alias("ok_vendor"), F.lit(None).cast("boolean").alias("ok_gst"),
+        F.struct(field("c1").alias("amount"), field("c2").alias("date"), field("c3").alias("vendor")).alias("extraction"),
+    )
+
+
+@query(_GRADED + "select * from combos")
+def sweep_of_confidences(spark, d):
+    names = "amount_high date_high vendor_high success_rate amount_accuracy date_accuracy vendor_accuracy"
+    return E.sweep(_graded(spark, d)).select(*names.split())
+
+
+@query(_GRADED + """
+select amount_high, date_high, vendor_high from combos
+where success_rate >= 0.7 and amount_accuracy >= 0.95 and date_accuracy >= 0.9 and vendor_accuracy >= 0.8
+order by round(amount_high + date_high + vendor_high, 6) desc, success_rate desc, 1, 2, 3 limit 1""")
+def recommended_of_confidences(spark, d):
+    return E.recommend(E.sweep(_graded(spark, d))).select("amount_high", "date_high", "vendor_high")
+
+
 @query(_SCORED + """
 select count(*) filter (has_vendor) as high, count(*) filter (not has_vendor) as partial, 0::bigint as low from judged""")
 def gate_histogram(spark, d):
