@@ -211,3 +211,35 @@ def test_learned_names_keep_a_narrow_checkpoint(spark, monkeypatch):
         extract_bills(spark.createDataFrame([("rent 120 lee",)], "t string"), text=F.col("t"), vendors=known)
     (columns,) = caught.value.args
     assert len(columns) == 12 and not [c for c in columns if "rem" in c or "input" in c or "rest" in c]
+
+
+LABELS = [
+    ("t1", "text", "wages 730 marta", {"amount": 730.0, "vendor": "marta"}, True),
+    ("t2", "text", "21/04/2025 Caltex GST INCLUSIVE $58.30", {"amount": 58.3, "date": "2025-04-21", "vendor": "Caltex", "gst": 5.3, "gst_basis": "inclusive"}, True),
+    ("t3", "text", "Nora's Tiling $310.00", {"amount": 310.0, "vendor": "Nora's Tiling"}, True),
+    ("t4", "text", "Subtotal: $150.00\nGST: $15.00\nTotal: $165.00", {"amount": 165.0, "gst": 16.5, "gst_basis": "exclusive"}, True),
+    ("t5", "text", "Stone-Bridge Roofing\n21/04/2025\nAmount: $310.00", {"amount": 310.0, "date": "2025-04-21", "vendor": "Stone-Bridge Roofing"}, True),
+    ("t6", "image", "Ca1tex\n7/4/25\nAmount: $44.75", {"amount": 44.75, "date": "2025-04-07", "vendor": "Caltex"}, True),
+    ("t7", "image", "THREE THOUSAND SEVEN HUNDRED AND TWENTY RUPEES ONLY", {"amount": 3720.0}, True),
+    ("t8", "text", "see you at the market", {}, False),
+]
+
+
+def test_labels_from_folder_to_report(spark, tmp_path):
+    """All fields of our own labels are read; the report keeps metrics, criteria and grades nested."""
+    from paperledger.operators import evaluate as E
+    from paperledger.sources import readers, writers
+
+    for name, kind, words, expected, bill in LABELS:
+        label = {"id": name, "kind": kind, ("text" if kind == "text" else "ocr_text"): words, "source": "own", "should_log": bill, "hard": name == "t7", "expected": expected}
+        (tmp_path / f"{name}.json").write_text(json.dumps(label))
+    labels, bad = readers.read_labels(spark, str(tmp_path))
+    scored = E.score(extract_bills(labels, text=F.col("text"), ocr_text=F.col("ocr_text")))
+    metrics = E.aggregate(scored)
+    m = metrics.head()
+    assert bad.count() == 0 and (m["bills"], m["success_rate"], m["hard_rate"], m["non_bills"], m["non_bills_safe"]) == (7, 1.0, 1.0, 1, 1)
+    assert [m[f"{f}_correct"] == m[f"{f}_n"] for f in ("amount", "date", "vendor", "gst")] == [True] * 4 and m["gst_n"] == 2
+    grades = metrics.select(F.col("gate_high").alias("high"), F.col("gate_partial").alias("partial"), F.col("gate_low").alias("low"))
+    writers.write_report(writers.run_report(metrics, E.criteria(metrics), grades), str(tmp_path / "report"))
+    back = spark.read.json(str(tmp_path / "report")).head()
+    assert all(c["pass"] for c in back["criteria"]) and back["gating"]["low"] == 1

@@ -205,3 +205,32 @@ def test_rates_as_stream_equal_the_table(spark, sf_dir):
     )
     assert query.awaitTermination(100)
     assert _rows(spark.read.parquet(folder + "/out")) == _rows(jobs.rate_per_minute(events, 1, 2))
+
+
+def _pieces(spark, rows, schema, folder):
+    """The rows as a stream of one file each."""
+    for k, row in enumerate(rows):
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
+def test_onboarding_and_settings_as_streams(spark):
+    from paperledger.operators import ledger as L
+    from paperledger.streaming import sinks
+
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    rows = [("a", START), ("b", START + timedelta(minutes=1)), ("a", START + timedelta(minutes=2))]
+    stream = _pieces(spark, rows, "user_phone string, wa_received_at timestamp", folder)
+    writer = sinks.onboard_stream(stream, folder + "/users", folder + "/state")
+    assert writer.trigger(availableNow=True).start().awaitTermination(60)
+    users = spark.read.parquet(folder + "/users").drop("batch")
+    whole = L.onboard(spark.read.parquet(folder + "/in"), spark.createDataFrame([], "user_phone string"))
+    assert _rows(users) == _rows(whole.select(*users.columns)) and users.count() == 2
+
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    rows = [("a", START, 1, True, None), ("a", START + timedelta(minutes=1), 2, None, "Perth"), ("a", START + timedelta(minutes=2), 3, False, None)]
+    schema = "user_phone string, ts timestamp, change_id int, auto_save boolean, timezone string"
+    changes = _pieces(spark, rows, schema, folder)
+    assert sinks.settings_stream(changes, folder + "/s", folder + "/state").trigger(availableNow=True).start().awaitTermination(60)
+    latest = L.latest_settings(sinks.read_grown(spark, folder + "/s", changes.schema), "user_phone", "ts", ["auto_save", "timezone"])
+    assert [tuple(r) for r in latest.collect()] == [("a", False, "Perth")]
