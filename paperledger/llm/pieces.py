@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from paperledger.llm.common import Remembered, text_of
 
-#: Segmentations that are returned; chunks whose segmentations a worker remembers.
-BEST, MEMORY = 3, 200_000
+#: Segmentations that are returned; chunks whose best segmentation a worker remembers.
+BEST, MEMORY = 3, 400_000
 
 #: No piece goes on behind a blank that follows another character, so texts are sums of such chunks.
 _CHUNK = re.compile(" +[^ ]*|[^ ]+")
@@ -43,6 +43,9 @@ class Vocabulary:
                 piece = piece.replace("▁", " ")
                 self.pieces[piece], text = (k, model.get_score(k)), piece.encode()
             self.texts.append(text)
+        # Scores of pieces, and minus infinity for what only starts one.
+        self.starts = {piece[:k]: float("-inf") for piece in self.pieces for k in range(1, len(piece))}
+        self.starts.update((piece, score) for piece, (_, score) in self.pieces.items())
         self.longest = max(map(len, self.pieces), default=1)
         self.unknown = min((score for _, score in self.pieces.values() if score > -1e8), default=0.0) - 10
         self.ids = {piece: np.array([k], "<u4").tobytes() for piece, (k, _) in self.pieces.items()}
@@ -94,33 +97,64 @@ def n_best(chunk: str, words: Vocabulary, n: int) -> list[tuple[float, bytes]]:
     return out
 
 
+def best_and_loss(chunk: str, words: Vocabulary) -> tuple[bytes, float, float]:
+    """Ids and score of the best segmentation of a chunk, and what the second best loses: Viterbi with two scores."""
+    size, get, none = len(chunk), words.starts.get, float("-inf")
+    first, second = [0.0] + [none] * size, [none] * (size + 1)
+    back = [0] * (size + 1)
+    for i in range(size):
+        one, two = first[i], second[i]
+        for j in range(i + 1, size + 1):
+            score = get(chunk[i:j])
+            if score is None:  # no piece goes on like this
+                if j > i + 1:
+                    break
+                score = words.unknown
+            elif score == none:  # only the start of pieces
+                if j > i + 1:
+                    continue
+                score = words.unknown
+            total = one + score
+            best = first[j]
+            if total > best:
+                other = two + score
+                first[j], second[j], back[j] = total, best if best > other else other, i
+            elif total > second[j]:
+                second[j] = total
+    ids, j = [], size
+    while j:
+        piece = chunk[back[j] : j]
+        ids.append(words.ids.get(piece) or words.fallback(piece))
+        j = back[j]
+    return b"".join(ids[::-1]), first[size], first[size] - second[size]
+
+
 class Encoder:
-    """Texts to their segmentations; of chunks: best ids, best score, loss of the second best, all."""
+    """Texts to their segmentations; of chunks it remembers the best ids, their score and the loss of the second best."""
 
     def __init__(self, words: Vocabulary, n: int):
         self.words, self.n = words, n
-        self.chunks = Remembered(self._chunk, MEMORY)
-
-    def _chunk(self, chunk: str):
-        found = n_best(chunk, self.words, self.n)
-        return found[0][1], found[0][0], found[0][0] - found[1][0] if len(found) > 1 else float("inf"), found
+        self.chunks = Remembered(lambda chunk: best_and_loss(chunk, words), MEMORY)
 
     def encode(self, text: str) -> list[tuple[float, bytes]]:
         """The ``n`` best segmentations of a whole text.
 
         Only the n - 1 chunks with the smallest losses can differ from their
         best in one of them: each other change is worse than n - 1 of these.
+        So only these are searched for their ``n`` best.
         """
         if not text:
             return [(0.0, b"")]
-        chunks = list(map(self.chunks.__getitem__, _CHUNK.findall(" " + text)))
+        parts = _CHUNK.findall(" " + text)
+        chunks = list(map(self.chunks.__getitem__, parts))
         score = sum(entry[1] for entry in chunks)
         losses = np.array([entry[2] for entry in chunks])
         few = np.sort(np.argsort(losses, kind="stable")[: self.n - 1])
         ways: list[tuple[float, tuple]] = [(0.0, ())]
         for k in few.tolist():
-            first = chunks[k][3][0][0]
-            ways = heapq.nsmallest(self.n, ((loss + first - s, (*choice, (k, ids))) for loss, choice in ways for s, ids in chunks[k][3]), key=lambda way: way[0])
+            found = n_best(parts[k], self.words, self.n)
+            first = found[0][0]
+            ways = heapq.nsmallest(self.n, ((loss + first - s, (*choice, (k, ids))) for loss, choice in ways for s, ids in found), key=lambda way: way[0])
         best = [entry[0] for entry in chunks]
         out = []
         for loss, choice in ways:
