@@ -40,9 +40,9 @@ def terms(data: bytes, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _mixed(low: np.ndarray, high: np.ndarray, salt: np.ndarray) -> np.ndarray:
-    x = (low[:, None] ^ salt) * np.uint32(0x85EBCA6B)
+    x = (low ^ salt) * np.uint32(0x85EBCA6B)
     x ^= x >> np.uint32(15)
-    x += high[:, None]
+    x += high
     x *= np.uint32(0xC2B2AE35)
     x ^= x >> np.uint32(13)
     x *= np.uint32(0x27D4EB2F)
@@ -51,27 +51,51 @@ def _mixed(low: np.ndarray, high: np.ndarray, salt: np.ndarray) -> np.ndarray:
 
 
 def _uniform(low: np.ndarray, high: np.ndarray, k: int) -> np.ndarray:
-    return ((_mixed(low, high, _SALTS[k]) >> np.uint32(8)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
+    x = _mixed(low, high, _SALTS[k])
+    x >>= np.uint32(8)
+    u = x.astype(np.float32)
+    u += np.float32(0.5)
+    u *= np.float32(2.0**-24)
+    return u
 
 
-def samples(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """For each term and sample: its rank above, its name below, in 64 bits; the least of a document is its sample.
+def _gamma(low: np.ndarray, high: np.ndarray, k: int) -> np.ndarray:
+    x = _uniform(low, high, k)
+    x *= _uniform(low, high, k + 1)
+    np.log(x, out=x)
+    return np.negative(x, out=x)
+
+
+def draws(hashes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Level and rank of terms in each sample; the arrays have a last axis of 1 or of the samples.
 
     With r and c of a gamma(2, 1) and b of a uniform distribution, all drawn
     from the term's hash, the weight w is rounded down to a level t of a grid
     of step r and offset b; the term's rank is ln c - r (t - b) - r. The pair of
-    term and level that comes out least is the same in two documents with the
+    term and level that ranks least is the same in two documents with the
     chance of their generalised Jaccard similarity.
     """
     low, high = hashes.astype(np.uint32), (hashes >> np.uint64(32)).astype(np.uint32)
-    r = -np.log(_uniform(low, high, 0) * _uniform(low, high, 1))
-    c = -np.log(_uniform(low, high, 2) * _uniform(low, high, 3))
-    b = _uniform(low, high, 4)
-    level = np.floor(np.log(weights.astype(np.float32))[:, None] / r + b)
-    rank = (np.log(c) - r * (level - b) - r).view(np.uint32)
-    rank = np.where(rank >> np.uint32(31), ~rank, rank | np.uint32(1 << 31)).astype(np.uint64)  # floats in the order of whole numbers
-    name = _mixed(low, high, _SALTS[5]) ^ (level.astype(np.int32).view(np.uint32) * np.uint32(0x9E3779B1))
-    return (rank << np.uint64(32)) | name
+    r, c, b = _gamma(low, high, 0), _gamma(low, high, 2), _uniform(low, high, 4)
+    level = np.floor(np.log(weights.astype(np.float32)) / r + b) if (weights != 1).any() else np.zeros(1, np.float32)  # b < 1
+    b -= level
+    b -= np.float32(1)
+    b *= r
+    b += np.log(c, out=c)
+    return level, b
+
+
+def names(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """32-bit names of terms with their levels, one for each sample: ``hashes`` has a column for each."""
+    level = np.broadcast_to(draws(hashes, weights)[0], hashes.shape)
+    name = _mixed(hashes.astype(np.uint32), (hashes >> np.uint64(32)).astype(np.uint32), _SALTS[5])
+    return name ^ (level.astype(np.int32).view(np.uint32) * np.uint32(0x9E3779B1))
+
+
+def sample(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The samples of one set of weighted terms."""
+    won = draws(hashes[:, None], weights[:, None])[1].argmin(axis=0)
+    return names(hashes[won][None], weights[won][None])[0]
 
 
 def signatures(texts: list[bytes]) -> np.ndarray:
@@ -82,14 +106,25 @@ def signatures(texts: list[bytes]) -> np.ndarray:
     if not sizes.sum():
         return out
     hashes, weights = (np.concatenate(x) for x in zip(*found))
-    # A term of several texts is sampled once.
+    # A term of several texts is ranked once; those of weight 1, nearly all, come together and are cheaper.
     _, first, inverse = np.unique(hashes ^ (weights.astype(np.uint64) * _FACTORS[14]), return_index=True, return_inverse=True)
-    table = np.concatenate([samples(hashes[k], weights[k]) for k in np.split(first, range(BLOCK, len(first), BLOCK))])
-    at = 0
+    order = np.argsort(weights[first] != 1, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    first, inverse = first[order], place[inverse]
+    table = np.empty((len(first), SAMPLES), np.float32)
+    for k in range(0, len(first), BLOCK):
+        block = first[k : k + BLOCK]
+        table[k : k + BLOCK] = draws(hashes[block, None], weights[block, None])[1]
+    won, at = np.zeros((len(texts), SAMPLES), np.int64), 0
     for row, size in enumerate(sizes.tolist()):
         if size:
-            out[row] = table[inverse[at : at + size]].min(axis=0)
+            own = inverse[at : at + size]
+            # Of equal ranks, the term that comes first in the text's own order of hashes.
+            won[row] = at + table[own].argmin(axis=0)
             at += size
+    some = sizes > 0
+    out[some] = names(hashes[won[some]], weights[won[some]])
     return out
 
 
