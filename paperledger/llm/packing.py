@@ -12,18 +12,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperledger.llm.common import text_of
+from paperledger.llm.common import Remembered, text_of
 
 WINDOW, END = 1024, 0
 #: Open windows beyond which documents are cut to close some; words whose ids a worker remembers.
-MAX_OPEN, MEMORY = 512, 300_000
+MAX_OPEN, MEMORY = 512, 600_000
 
 #: Unicode white space, at which the tokenizer's own rule cuts a text before it merges.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SEGMENT = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
 
-class _Words(dict):
+# How the vocabulary spells bytes; printable ones as themselves, the others from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SPELLED = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
+class _Words(Remembered):
     """Ids of segments by the tokenizer. A segment is a run of white space with the run of other
     characters behind it; the tokenizer never merges across its start, so texts are sums of segments."""
 
@@ -32,14 +37,16 @@ class _Words(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-
-    def __missing__(self, segment: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(segment, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(segment) <= 64:
-            if len(self) >= MEMORY:
-                self.clear()
-            self[segment] = ids
-        return ids
+        super().__init__(self._ids, MEMORY)
+
+    def _ids(self, segment: str) -> bytes:
+        if segment[-1] in ".,":
+            if segment[-2:-1].isalpha():  # the tokenizer parts letters and points before it merges
+                return self[segment[:-1]] + self[segment[-1]]
+        elif segment[segment[0] == " " :].isalpha():  # one word, which goes to the merges as it is
+            word = segment.encode().decode("latin-1").translate(_SPELLED)
+            return np.array([token.id for token in self.tokenizer.model.tokenize(word)], "<u4").tobytes()
+        return np.array(self.tokenizer.encode(segment, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _WORDS: dict[str, _Words] = {}
