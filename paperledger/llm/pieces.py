@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from paperledger.llm.common import Remembered, text_of
 
 #: Segmentations that are returned; chunks whose best segmentation a worker remembers.
-BEST, MEMORY = 3, 400_000
+BEST, MEMORY = 3, 170_000
+
+#: Texts whose segmentations a worker holds at a time.
+ROWS = 200
 
 #: No piece goes on behind a blank that follows another character, so texts are sums of such chunks.
 _CHUNK = re.compile(" +[^ ]*|[^ ]+")
@@ -135,6 +138,7 @@ class Encoder:
     def __init__(self, words: Vocabulary, n: int):
         self.words, self.n = words, n
         self.chunks = Remembered(lambda chunk: best_and_loss(chunk, words), MEMORY)
+        self.close = Remembered(lambda chunk: n_best(chunk, words, n), MEMORY // 20)
 
     def encode(self, text: str) -> list[tuple[float, bytes]]:
         """The ``n`` best segmentations of a whole text.
@@ -147,21 +151,23 @@ class Encoder:
             return [(0.0, b"")]
         parts = _CHUNK.findall(" " + text)
         chunks = list(map(self.chunks.__getitem__, parts))
-        score = sum(entry[1] for entry in chunks)
+        score = sum([entry[1] for entry in chunks])
         losses = np.array([entry[2] for entry in chunks])
         few = np.sort(np.argsort(losses, kind="stable")[: self.n - 1])
         ways: list[tuple[float, tuple]] = [(0.0, ())]
         for k in few.tolist():
-            found = n_best(parts[k], self.words, self.n)
+            found = self.close[parts[k]]
             first = found[0][0]
             ways = heapq.nsmallest(self.n, ((loss + first - s, (*choice, (k, ids))) for loss, choice in ways for s, ids in found), key=lambda way: way[0])
         best = [entry[0] for entry in chunks]
+        whole = b"".join(best)
+        starts = {k: sum(map(len, best[:k])) for k in few.tolist()}
         out = []
         for loss, choice in ways:
-            ids = list(best)
-            for k, other in choice:
-                ids[k] = other
-            out.append((score - loss, b"".join(ids)))
+            ids = whole
+            for k, other in reversed(choice):  # from behind, so that the places before stay where they are
+                ids = ids[: starts[k]] + other + ids[starts[k] + len(best[k]) :]
+            out.append((score - loss, ids))
         return out
 
 
@@ -179,7 +185,8 @@ def encode(docs: DataFrame, model: str, best: int = BEST, id_col: str = "doc_id"
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = Encoder(Vocabulary(model), best)
         for batch in batches:
-            yield pd.Series([[{"score": score, "ids": ids} for score, ids in encoder.encode(text)] for text in batch])
+            for k in range(0, len(batch), ROWS):  # several ids for each character: small parts keep memory low
+                yield pd.Series([[{"score": score, "ids": ids} for score, ids in encoder.encode(text)] for text in batch.iloc[k : k + ROWS]])
 
     text = text_of(text_col)
     return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), run(text).alias("segmentations"))
