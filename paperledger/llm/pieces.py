@@ -83,10 +83,10 @@ def n_best(chunk: str, words: Vocabulary, n: int) -> list[tuple[float, bytes]]:
             here.append((j - 1, words.unknown, words.fallback(chunk[j - 1])))
         forward[j] = max(forward[i] + score for i, score, _ in here)
     out: list[tuple[float, bytes]] = []
-    ticket = 0  # paths of equal score come out as they went in
-    queue: list = [(-forward[size], ticket, size, 0.0, None)]
+    ticket = 0  # of equal scores the path nearest to its end goes on, so that ties are not all walked
+    queue: list = [(-forward[size], size, ticket, 0.0, None)]
     while queue and len(out) < n:
-        total, _, at, behind, path = heapq.heappop(queue)
+        total, at, _, behind, path = heapq.heappop(queue)
         if not at:
             ids = []
             while path:
@@ -96,7 +96,7 @@ def n_best(chunk: str, words: Vocabulary, n: int) -> list[tuple[float, bytes]]:
             continue
         for i, score, piece in edges[at]:
             ticket += 1
-            heapq.heappush(queue, (-(forward[i] + score + behind), ticket, i, score + behind, (piece, path)))
+            heapq.heappush(queue, (-(forward[i] + score + behind), i, ticket, score + behind, (piece, path)))
     return out
 
 
