@@ -158,6 +158,24 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return found.select("doc_id", "found.lang_pred", "found.score")
 
 
+def evident(text: str | None, model: Model) -> bool:
+    """Whether the model knows a word of the text, or an n-gram of one that is more than the mark of a word's end."""
+    known = model.tables
+    return text is not None and any(
+        word in known[0] or any(gram in known[n] for n in LENGTHS for gram in grams_of(word, n) if gram not in "<>") for word in words_of(text)
+    )
+
+
 def known_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which a language is found."""
-    return docs.where(predictor(docs, model)(F.col(text_col)).getField("lang_pred") != "und")
+    """The rows of ``docs`` in which a language is found: with a letter, and a word or n-gram that the model knows.
+
+    If the model knows no language, only null and letterless texts go.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def found(texts: pd.Series) -> pd.Series:
+        model = shared.value
+        return pd.Series([has_letter(text) and (not model.langs or evident(text, model)) for text in texts], dtype=bool)
+
+    return docs.where(found(F.col(text_col)))
