@@ -54,13 +54,14 @@ class Page:
     """One page, read once: text blocks in order, each with the place it stands in, and its branches.
 
     ``blocks``: ``[text, in_article, in_main]``. ``branches``: key, child tags
-    and the texts below, of each element in ``BRANCHES``. ``removed``: keys of
-    branches to leave out.
+    and the texts below, of each element in ``BRANCHES``; ``spans``: the blocks
+    below. ``removed``: keys of branches to leave out.
     """
 
     def __init__(self, source: str, removed: frozenset[int] = frozenset()):
         self.blocks: list[tuple[str, bool, bool]] = []
         self.branches: dict[int, tuple[list[str], list[str]]] = {}
+        self.spans: dict[int, list[range]] = {}
         self.removed = removed
         self.parts: list[str] = []
         self.stack = [_Element("", 0, False, False, False, 0)]
@@ -152,14 +153,34 @@ class Page:
             children, texts = self.branches.setdefault(element.key, ([], []))
             children += element.children
             texts += [text for text, _, _ in self.blocks[element.first :]]
+            self.spans.setdefault(element.key, []).append(range(element.first, len(self.blocks)))
 
-    def text(self) -> str:
+    def _main(self) -> list[int]:
         """The blocks of the articles; of the main part if there is no article; of the page if there is neither."""
         for place in (1, 2):
-            inside = [block[0] for block in self.blocks if block[place]]
+            inside = [k for k, block in enumerate(self.blocks) if block[place]]
             if inside:
-                return "\n".join(inside)
-        return "\n".join(block[0] for block in self.blocks)
+                return inside
+        return list(range(len(self.blocks)))
+
+    def text(self) -> str:
+        return "\n".join(self.blocks[k][0] for k in self._main())
+
+    def spare(self, keys: frozenset[int]) -> frozenset[int]:
+        """Those of the branches that may go, smallest first: one with over half of the words still there stays, and so do all larger ones."""
+        words = {k: len(self.blocks[k][0].split()) for k in self._main()}
+        below = {key: {k for span in self.spans.get(key, ()) for k in span if k in words} for key in keys}
+        left, gone = sum(words.values()), []
+        for key in sorted(keys, key=lambda key: (sum(words[k] for k in below[key]), key)):
+            size = sum(words[k] for k in below[key])
+            if size * 2 > left:
+                break
+            gone.append(key)
+            left -= size
+            for k in below[key]:
+                words.pop(k, None)
+            below = {key: blocks & words.keys() for key, blocks in below.items()}
+        return frozenset(gone)
 
 
 def host_of(url: Column | str) -> Column:
@@ -201,7 +222,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Scripts, forms, menus and the like go by their names; then branches that
     look and read the same on most of the ``min_pages`` or more pages of a site
     go, unless all branches of that site do, which means that its pages are
-    copies. Paragraphs and headings are never branches. Null and empty html
+    copies. A branch with most of a page's remaining words stays on that page:
+    on a site of copies that differ in a date it is the article. Paragraphs and headings are never branches. Null and empty html
     give an empty text; pages with a null or broken url are read without a
     site. Repeated rows are read each time; a page's copies count as pages.
     Empty tables give no row; other columns are ignored.
@@ -217,6 +239,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     @F.pandas_udf("string")
     def main_text(sources: pd.Series, removed: pd.Series) -> pd.Series:
-        return pd.Series([Page(source, frozenset() if keys is None else frozenset(keys)).text() for source, keys in zip(sources, removed)], dtype=object)
+        out = []
+        for source, keys in zip(sources, removed):
+            page = Page(source)
+            gone = frozenset() if keys is None else page.spare(frozenset(keys))
+            out.append((Page(source, gone) if gone else page).text())
+        return pd.Series(out, dtype=object)
 
     return joined.select("page_id", "url", main_text("html", "removed").alias("text"))
