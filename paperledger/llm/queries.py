@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperledger.llm import langid, pieces, pii
+from paperledger.llm import conversations, langid, pieces, pii, twins
+from paperledger.llm import toxicity as toxic
+from paperledger.llm.centroids import cluster
 from paperledger.llm.exact import exact_dedup
 from paperledger.llm.fingerprints import fingerprints
 from paperledger.llm.lines import line_dedup
@@ -176,6 +178,32 @@ FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
 
+@_query
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's likelihood of a toxic label, by models of the labels that are not held out."""
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    found = toxic.toxicity(_documents(spark, folder), labels.where(~toxic.held_out()))
+    return found.select("doc_id", toxic.held_out().alias("held_out"), "score", "predicted")
+
+
+@_query
+def op12_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation's faults after damage, and its cheapest repair."""
+    return conversations.repair(conversations.damaged(spark.read.parquet(f"{folder}/conversations.parquet")))
+
+
+ORACLES["op12_conversations"] = twins.conversations()
+
+
+@_query
+def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector's cluster after five rounds."""
+    return cluster(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+ORACLES["op13_centroids"] = twins.centroids()
+
+
 @_query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """The packed corpus after all stages."""
