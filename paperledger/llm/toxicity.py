@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperledger.llm.common import Remembered, text_of, written
+from paperledger.llm.common import Remembered, bitmap, in_bitmap, text_of, written
 from paperledger.llm.langid import words_of
 
 #: Characters of the longest n-gram; a word is spelt between the marks < and >.
@@ -22,6 +22,8 @@ COMMON = 400_000
 CALIBRATION = 20_000
 #: Words whose windows a worker remembers, different windows it counts before it sends them on.
 MEMORY, FLUSH = 150_000, 400_000
+#: Bits of the map of labelled ids.
+MAP_BITS = 1 << 23
 
 
 def windows_of(word: str, order: int = ORDER) -> list[str]:
@@ -78,6 +80,14 @@ class Model:
     common: dict[str, float]
 
 
+def _labelled(docs: DataFrame, labels: DataFrame, map_bits: int = MAP_BITS) -> DataFrame:
+    """Texts with their labels. Texts whose id isn't in a map of fixed size of the labelled ids aren't shuffled; ids that share a slot cost a needless row."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(map_bits))
+    ids = bitmap(labels.select(slot.alias("slot")), map_bits)
+    likely = docs.where("doc_id IS NOT NULL").select("doc_id", "text", slot.alias("slot"), ids.alias("map")).where(in_bitmap("slot", "map"))
+    return likely.select("doc_id", "text").join(labels.hint("merge"), "doc_id")
+
+
 def _discount(ones: int, twos: int) -> float:
     """Kneser and Ney's estimate, kept off 0 and 1 where there are few rows."""
     return min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
@@ -91,7 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER, common: int = CO
     log-ratios: there are at most ``common`` of them.
     """
     labels = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    rows = written(count_windows(docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(labels, "doc_id"), order))
+    rows = written(count_windows(_labelled(docs, labels), order))
     totals = rows.agg(F.sum("t").alias("t"), F.sum("o").alias("o")).head()
     t, o = totals["t"] or 0, totals["o"] or 0
     rate = labels.agg(F.avg("toxic").alias("rate")).head()["rate"] or 0.0
