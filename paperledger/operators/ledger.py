@@ -58,6 +58,54 @@ def latest_settings(changes: DataFrame, key: str, ts: str, fields: list[str]) ->
     return changes.groupBy(key).agg(*[pick(c).alias(c) for c in fields])
 
 
+def settings_as_of(messages: DataFrame, changes: DataFrame, key: str, fields: list[str], at: str = "wa_received_at", bucket_hours: int = 24) -> DataFrame:
+    """Messages with each setting as it is at their moment: the last change before it, and ``<field>_at``, when that was.
+
+    ``changes``: the key, ``ts``, ``change_id`` and the fields, null where a
+    change leaves one alone; one at a message's own moment counts. A setting
+    that nobody changed yet keeps the value of the message's own column, null
+    if it has none. Messages without a key meet no change.
+
+    A key's time line is cut into buckets. What holds when a bucket begins is
+    found among one row for each bucket; inside it, messages and changes are
+    sorted together. So a key with a third of all messages spreads over its days.
+    """
+    length = F.lit(bucket_hours * 3600)
+    own = [c for c in messages.columns if c not in {f"{f}_at" for f in fields}]
+    bucket = lambda ts: F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / length).alias("bucket")
+    moment = lambda ts: F.unix_micros(F.col(ts).cast("timestamp"))
+    value = lambda f: F.when(F.col(f).isNotNull(), F.struct(moment("ts").alias("at"), F.col("change_id").alias("tie"), F.col(f).alias("value"))).alias(f)
+    made = changes.filter(F.col(key).isNotNull()).select(key, bucket("ts"), moment("ts").alias("at"), F.col("change_id").alias("tie"), *[value(f) for f in fields])
+    asked = messages.filter(F.col(key).isNotNull()).select(key, bucket(at), moment(at).alias("at"), F.struct(*own).alias("row"))
+
+    nothing = [F.lit(None).cast(made.schema[f].dataType).alias(f) for f in fields]
+    steps = made.groupBy(key, "bucket").agg(*[F.max(f).alias(f) for f in fields]).unionByName(asked.select(key, "bucket").distinct().select(key, "bucket", *nothing))
+    steps = steps.groupBy(key, "bucket").agg(*[F.max(f).alias(f) for f in fields])
+    before = Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    begun = steps.select(key, "bucket", *[F.last(f, ignorenulls=True).over(before).alias(f) for f in fields])
+
+    row = F.lit(None).cast(asked.schema["row"].dataType).alias("row")
+    line = (
+        begun.select(key, "bucket", F.lit(None).cast("long").alias("at"), F.lit(0).alias("turn"), *fields, row)
+        .unionByName(made.select(key, "bucket", "at", F.lit(0).alias("turn"), *fields, row))
+        .unionByName(asked.select(key, "bucket", "at", F.lit(1).alias("turn"), *nothing, "row"))
+    )
+    # What began with the bucket has no moment, so it sorts first; of changes at one moment the largest struct is the last.
+    sofar = Window.partitionBy(key, "bucket").orderBy("at", "turn").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    met = line.select("turn", "row", *[F.max(f).over(sofar).alias(f) for f in fields]).filter("turn = 1")
+    found = met.select(
+        *[F.coalesce(F.col(f"{c}.value"), F.col("row")[c]).alias(c) if c in fields else F.col("row")[c].alias(c) for c in own],
+        *[F.col(f"{f}.value").alias(f) for f in fields if f not in own],
+        *[F.timestamp_micros(F.col(f"{f}.at")).alias(f"{f}_at") for f in fields],
+    )
+    loose = messages.filter(F.col(key).isNull()).select(
+        *own,
+        *[F.lit(None).cast(changes.schema[f].dataType).alias(f) for f in fields if f not in own],
+        *[F.lit(None).cast("timestamp").alias(f"{f}_at") for f in fields],
+    )
+    return found.unionByName(loose)
+
+
 def confirm(drafts: DataFrame, confirmed_at: Column, auto: Column) -> DataFrame:
     """Turn drafts into logged rows and copy the extracted values to plain columns."""
     e = F.col("raw_extraction")

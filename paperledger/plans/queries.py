@@ -1002,6 +1002,117 @@ def ledger_from_messages(spark, d):
     return out.select("user_phone", "draft_id", "status", money("amount"), money("gst"), "vendor", "date")
 
 
+_SETTINGS_SQL = """
+with photos as (select event_id, ts, user_id % 25 as business_id, event_id % 50 + 1 as tax from events where event_type = 'purchase'),
+span as (select min(ts) as low from events),
+changes as (
+  select n_nationkey as business_id, low + to_hours(cast(24 * k + n_nationkey as int)) as ts, k as change_id,
+    case k when 6 then false when 15 then true when 24 then false end as auto_save,
+    case when n_nationkey % 2 = 0 then case k when 10 then true when 20 then false end when k = 15 then true when k = 24 then false end as gst_registered
+  from nation, span, (select unnest([6, 10, 15, 20, 24]) as k)),
+ruled as (select p.*,
+  coalesce((select arg_max(c.auto_save, c.ts) from changes c where c.business_id = p.business_id and c.ts <= p.ts and c.auto_save is not null), true) as auto_save,
+  coalesce((select arg_max(c.gst_registered, c.ts) from changes c where c.business_id = p.business_id and c.ts <= p.ts and c.gst_registered is not null), p.business_id % 3 <> 0) as registered
+  from photos p)
+"""
+
+
+def _setting_changes(spark, d):
+    """Five changes for each business, a few days apart; each leaves a setting alone."""
+    low = VW.table(spark, d, "events").agg(F.min(F.col("ts").cast("timestamp")).alias("low"))
+    days = VW.table(spark, d, "nation").select(F.col("n_nationkey").alias("business_id"), F.explode(F.array(*map(F.lit, (6, 10, 15, 20, 24)))).alias("k"))
+    k, odd = F.col("k"), F.col("business_id") % 2 == 1
+    return days.crossJoin(F.broadcast(low)).select(
+        "business_id",
+        (F.col("low") + F.make_dt_interval(k, F.col("business_id"))).alias("ts"),
+        k.alias("change_id"),
+        F.when(k == 6, False).when(k == 15, True).when(k == 24, False).alias("auto_save"),
+        F.when(odd & (k == 15) | ~odd & (k == 10), True).when(odd & (k == 24) | ~odd & (k == 20), False).alias("gst_registered"),
+    )
+
+
+def _answer(amount, stamp, vendor):
+    return F.concat(
+        F.lit('{"amount": '), amount.cast("string"), F.lit(', "date": "'), F.date_format(stamp, "dd/MM/yyyy"),
+        F.lit('", "vendor": "'), vendor, F.lit('", "gst_basis": "inclusive", "confidence": "high"}'),
+    )
+
+
+def _bills_with_replies(spark, d):
+    """A photo of one bill from each purchase, by a sender of its own, who answers 1 two minutes later; senders and businesses."""
+    e = VW.table(spark, d, "events").filter("event_type = 'purchase'").withColumn("ts", F.col("ts").cast("timestamp"))
+    key, none = F.col("event_id"), F.lit(None).cast("string")
+    phone = key.cast("string").alias("user_phone")
+    photos = e.select(
+        phone, F.concat(F.lit("p"), key.cast("string")).alias("wa_message_id"), F.col("ts").alias("wa_received_at"), F.lit("photo").alias("kind"),
+        F.array(F.lit("p")).alias("image_urls"), none.alias("text"), none.alias("ocr_text"), _answer((key % 50 + 1) * 11, "ts", F.lit("Shop Alder")).alias("answer"),
+    )
+    replies = e.select(
+        phone, F.concat(F.lit("r"), key.cast("string")).alias("wa_message_id"), (F.col("ts") + F.expr("interval 2 minutes")).alias("wa_received_at"), F.lit("text").alias("kind"),
+        F.array().cast("array<string>").alias("image_urls"), F.lit("1").alias("text"), none.alias("ocr_text"), none.alias("answer"),
+    )
+    users = e.select(phone, (F.col("user_id") % 25).alias("business_id"))
+    businesses = VW.table(spark, d, "nation").select(
+        F.col("n_nationkey").alias("business_id"), (F.col("n_nationkey") % 3 != 0).alias("gst_registered"), F.lit(True).alias("auto_save"), F.lit("Australia/Perth").alias("timezone")
+    )
+    return photos.unionByName(replies), users, businesses
+
+
+@query(_SETTINGS_SQL + """
+select cast(event_id as varchar) as user_phone, auto_save as auto_logged, strftime(case when auto_save then ts else ts + interval 2 minute end, '%Y-%m-%d %H:%M:%S') as confirmed_at,
+  tax * 11::double as amount, case when registered then tax::double end as gst from ruled""")
+def ledger_with_settings(spark, d):
+    messages, users, businesses = _bills_with_replies(spark, d)
+    out = P.ledger_from_messages(messages, users, businesses, changes=_setting_changes(spark, d), image_answer=F.col("answer"))
+    money = lambda c: F.col(c).cast("double").alias(c)
+    return out.select("user_phone", "auto_logged", _stamp("confirmed_at"), money("amount"), money("gst"))
+
+
+@query("""
+with photos as (select event_id, ts, event_id % 4 + 1 as n, event_id % 2 = 0 as auto from events where event_type = 'purchase'),
+images as (select *, unnest(range(n)) as i from photos)
+select event_id || '/' || i as draft_id, i = 0 and auto as auto_logged, cast(11 * (event_id % 30 + 1) + i as double) as amount, 'Shop ' || chr(cast(65 + i as int)) as vendor,
+  strftime(case when i = 0 and auto then ts when i = 0 then ts + interval 1 minute else ts + to_minutes(cast(2 * i + 1 as int)) end, '%Y-%m-%d %H:%M:%S') as confirmed_at
+from images""")
+def queued_image_bills(spark, d):
+    """Photos of up to four bills each, answered one by one with ``next`` and ``1``: every image is logged with its own reading."""
+    e = VW.table(spark, d, "events").filter("event_type = 'purchase'").withColumn("ts", F.col("ts").cast("timestamp"))
+    key, none = F.col("event_id"), F.lit(None).cast("string")
+    phone = F.concat(F.lit("u"), key.cast("string")).alias("user_phone")
+    numbers = F.sequence(F.lit(0).cast("bigint"), key % 4)
+    # Only the even ones show a date, so only they are logged by themselves.
+    answer = lambda i: F.concat(
+        F.lit('{"amount": '), ((key % 30 + 1) * 11 + i).cast("string"), F.when(key % 2 == 0, F.concat(F.lit(', "date": "'), F.date_format("ts", "dd/MM/yyyy"), F.lit('"'))).otherwise(""),
+        F.lit(', "vendor": "Shop '), F.substring(F.lit("ABCD"), (i + 1).cast("int"), F.lit(1)), F.lit('", "gst_basis": "none", "confidence": "high"}'),
+    )
+    photos = e.select(
+        phone, key.cast("string").alias("wa_message_id"), F.col("ts").alias("wa_received_at"), F.lit("photo").alias("kind"), none.alias("text"), none.alias("ocr_text"),
+        F.transform(numbers, lambda i: F.concat(F.lit("img"), i.cast("string"))).alias("image_urls"), F.transform(numbers, answer).alias("answers"),
+    )
+    said = F.explode(F.flatten(F.transform(numbers, lambda i: F.array(
+        F.struct((i * 2).alias("minute"), F.when(i == 0, "help").otherwise("next").alias("text")),
+        F.struct((i * 2 + 1).alias("minute"), F.lit("1").alias("text")),
+    )))).alias("said")
+    replies = e.select(phone, key, "ts", said).select(
+        "user_phone", F.concat(F.lit("r"), key.cast("string"), F.lit("-"), F.col("said")["minute"].cast("string")).alias("wa_message_id"),
+        (F.col("ts") + F.make_dt_interval(mins=F.col("said")["minute"].cast("int"))).alias("wa_received_at"), F.lit("text").alias("kind"), F.col("said")["text"].alias("text"),
+        none.alias("ocr_text"), F.array().cast("array<string>").alias("image_urls"), F.array().cast("array<string>").alias("answers"),
+    )
+    messages = P.deal_images(photos.unionByName(replies.filter("text <> 'help'")), {"answers": "answer"})
+    users, businesses = _tenants(spark, d)
+    out = P.ledger_from_messages(messages, users, businesses, image_answer=F.col("answer"))
+    return out.select("draft_id", "auto_logged", F.col("amount").cast("double").alias("amount"), "vendor", _stamp("confirmed_at"))
+
+
+@query("select cast(user_id as varchar) as user_phone, count(*) as contacts from (select distinct user_id from events where user_id % 3 <> 0) group by 1")
+def new_contacts(spark, d):
+    """First contacts where every third user is known from before."""
+    known = VW.table(spark, d, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").cast("string").alias("user_phone"))
+    extra = VW.table(spark, d, "events").filter("user_id % 3 = 0").select(F.col("user_id").cast("string").alias("user_phone"))
+    onboarded = jobs.replay(_inbound(spark, d), users=known.unionByName(extra)).filter("event = 'onboarded'")
+    return onboarded.groupBy("user_phone").agg(F.count("*").alias("contacts"))
+
+
 @query("select cast(user_id as varchar) as user_phone, count(*) as contacts from (select distinct user_id from events) group by 1")
 def first_contacts(spark, d):
     onboarded = jobs.replay(_inbound(spark, d)).filter("event = 'onboarded'")
