@@ -352,7 +352,7 @@ _WORDS = "list_filter(string_split_regex(text, '[\\s\\x0b]+'), lambda x: regexp_
 with w as (select doc_id, {_WORDS} as words from documents)
 select doc_id, len(words) >= 8 and len(list_filter(words, lambda x: len(x) <= 2)) * 2 >= len(words) as garbage from w""")
 def garbage_texts(spark, d):
-    return VW.table(spark, d, "documents").select("doc_id", X.is_garbage(F.col("text")).alias("garbage"))
+    return readers.read_spread(spark, f"{d}/documents.parquet").select("doc_id", X.is_garbage(F.col("text")).alias("garbage"))
 
 
 # The wordings of the rules, as in functions.text.
@@ -563,7 +563,7 @@ def _scored(spark, d):
             F.lit(None).cast("string").alias("invoice_number"),
         ).alias("expected"),
     )
-    docs = VW.table(spark, d, "documents").select(
+    docs = readers.read_spread(spark, f"{d}/documents.parquet").select(
         (-F.col("doc_id") - 1).alias("id"),
         "text",
         F.lit(False).alias("should_log"),

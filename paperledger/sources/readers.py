@@ -87,3 +87,16 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
         F.regexp_extract(name, r"\A(.*)\.[^.]*\z", 1).alias("id"),
         F.lower(F.regexp_extract(name, r"\.([^.]*)\z", 1)).alias("ext"),
     )
+
+
+def read_spread(spark: SparkSession, path: str, row_group: int = 128 << 20) -> DataFrame:
+    """A Parquet table whose rows cost far more to work on than to move, such as texts for the extraction rules.
+
+    A task reads whole row groups, so a table of fewer groups than cores leaves
+    cores idle. Only then are its rows dealt out anew; ``row_group`` is the size
+    that a group has in a large file. A table with files enough is read as it is.
+    """
+    rows, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+    groups = files.agg(F.sum(F.ceil(F.col("length") / row_group))).head()[0] or 0
+    return rows.repartition(cores) if groups < cores else rows

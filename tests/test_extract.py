@@ -1,92 +1,12 @@
-"""Literal bill texts and the fields expected from them, run as one Spark job."""
+"""Sources, stored answers, fallback step and learned names of the extraction job."""
 
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from paperledger.functions import text as X
 from paperledger.operators.extract import extract_bills, read_text
 
-# text -> expected raw fields; only the listed fields are compared.
-READINGS = [
-    ("wages 730 marta", dict(amount=730.0, category_hint="wages", vendor="marta")),
-    ("$88.40 utilities homebase", dict(amount=88.4, category_hint="utilities", vendor="homebase")),
-    ("ABN: 53 004 085 616 Total $61.00", dict(abn="53 004 085 616", vendor=None, amount=61.0)),
-    ("GST INCLUSIVE $73.00", dict(gst_basis="inclusive")),
-    ("$73.00 inc GST", dict(gst_basis="inclusive")),
-    ("$73.00", dict(gst_basis="none")),
-    ("21/04/2025 Caltex $58.30", dict(amount=58.3, vendor="Caltex", date="21/04/2025")),
-    ("Caltex 07-04-2025 Total $58.30", dict(amount=58.3, date="07-04-2025")),
-    ("Harbour Fuels 7/4/25 Total $91.15", dict(amount=91.15, date="7/4/25")),
-    ("kQ zu 07/04 2025 lan", dict(amount=None)),
-    ("caltex 58.30 07/04 2025", dict(amount=58.3, vendor="caltex")),
-    ("21-Apr-2025 Caltex $58.30", dict(amount=58.3, date="21-Apr-2025", vendor="Caltex")),
-    ("DATE : 14 June 2011    TIME : 08:41:05\nAMOUNT    Rs            472.15\nTOTAL     Rs            472.15", dict(date="14 June 2011", amount=472.15)),
-    ("DATED : 14 / 06 / 2011\nTotal $58.30", dict(date="14 / 06 / 2011", amount=58.3)),
-    ("Settled 14 June 2011\nTotal $58.30", dict(date=None, amount=58.3)),
-    ("21/04/2025\nDATE : 14 June 2011\nTotal $58.30", dict(date="21/04/2025")),
-    ("dinner 18:45 36", dict(amount=36.0, vendor="dinner")),
-    ("internet 64 caltex gst", dict(vendor="caltex", gst_basis="exclusive")),
-    ("- Harbour-\n- Total: $58.30 -", dict(vendor="Harbour")),
-    ("Nora's Tiling $310.00", dict(vendor="Nora's Tiling")),
-    ("21/04/2025 Caltex GST INCLUSIVE $58.30", dict(vendor="Caltex", amount=58.3)),
-    ("Cal-\ntex\n21/04/2025\nAmount: $44.75", dict(vendor="Caltex", amount=44.75)),
-    ("Lakeside Nurse- \r\nry\n21/04/2025\nTotal: $132.60", dict(vendor="Lakeside Nursery")),
-    ("Stone-Bridge Roofing\n21/04/2025\nAmount: $310.00", dict(vendor="Stone-Bridge Roofing")),
-    ("merry-go-\nround\n21/04/2025\nAmount: $27.00", dict(vendor="merry-go round")),
-    ("Subtotal: $150.00\nGST: $15.00\nTotal: $165.00", dict(amount=165.0)),
-    ("Balance: $2,718.28\nSundry charges $314.00", dict(amount=2718.28)),
-    ("Sundry charges $314.00\nAmount due: $2,718.28", dict(amount=2718.28)),
-    ("Usage $150.00\nGST $15.18", dict(amount=150.0)),
-    ("Total Invoice No. 7193\nUsage: $150.00", dict(amount=150.0)),
-    ("Total GST: $15.18\nUsage $150.00\nTotal: $182.18", dict(amount=182.18)),
-    ("Total (ex GST) $170.00 Total (inc GST) $187.00", dict(amount=187.0)),
-    ("Credit balance: $8,100.00\nAmount due: $170.00", dict(amount=170.0)),
-    ("Amount due:\n\n$182.18", dict(amount=182.18)),
-    ("Amount due:\nCredit $6.00\n$182.18", dict(amount=6.0)),
-    ("Item Total\nFreight\n$44.75", dict(amount=44.75)),
-    ("[7] Veru sol\nAMOUNT Rs 47\n101AL Rs 472.15", dict(amount=472.15)),
-    ("Rs 472.15", dict(amount=472.15)),
-    ("rs 472.15", dict(amount=472.15)),
-    ("INR 3,410.00", dict(amount=3410.0)),
-    ("Oq zel ta FR 8k mi TO VS Lu e du ni\nStation - Rampur (Kerala) - 682016\nToken No: 12\nBill No: 9077", dict(amount=None)),
-    ("Corner Table < 3\nTel 48411920355 TAX INVOICE\nTHREE THOUSAND SEVEN HUNDRED AND TWENTY RUPEES ONLY", dict(amount=3720.0)),
-    ("EIGHT HUNDRED AND THIRTY-TWO RUPEES AND FORTY PAISA ONLY", dict(amount=832.4, vendor=None)),
-    ("SEVEN HUNDRED DOLLARS AND TWENTY CENTS ONLY", dict(amount=700.2)),
-    ("EIGHT HUNDRED AND THIRTY-TWU RUPEES AND FORTY PAISA ONLY", dict(amount=832.4)),
-    ("THREE THOUSANP RUPEES ONLY", dict(amount=3000.0)),
-    ("SEVEN HUNDRYD RUPEES ONLY", dict(amount=700.0)),
-    ("TWO LAKH THIRTY THOUSAND RUPEES ONLY", dict(amount=230000.0)),
-    ("THREE THOUSAND AND SEVENTY PIECES", dict(amount=None)),
-    ("Seller Line\nEIGHT HUNDRED AND THIRTY-TWU RUPEES AND FORTY PAISA ONLY", dict(vendor="Seller Line")),
-    ("FORTY SIX THOUSAND INR ONLY", dict(amount=46000.0, vendor=None)),
-    ("GUJARAT FRElGHT TOOLS\nTHREE THOUSAND SEVEN HUNDRED AND TWENTY RUPEES ONLY", dict(vendor="Gujarat Freight Tools", vendor_resolved_to="Gujarat Freight Tools")),
-    ("Ca1tex\nAmount: $44.75", dict(vendor="Caltex")),
-    ("plum od Verity Jar\nAmount: $12.00", dict(vendor="plum od Verity Jar", vendor_resolved_to=None)),
-    ("HDFC Bank\nTotal Rs 472.15", dict(vendor="HDFC Bank", vendor_resolved_to=None)),
-    ("MORA AND COUSINS ROOFINQ\nTotal $410.00", dict(vendor="MORA AND COUSINS ROOFINQ")),
-    ("Subtotal Rs 170.00\nTotal Rs 187.00", dict(amount=187.0)),
-    ("Supplies Total $2,718.28 papermill", dict(vendor="papermill")),
-    ("Origin Energy\nInvoice Number: INV-7193\nThank you for your business\nTotal $58.30", dict(vendor="Origin")),
-    ("[7] Veru sol] %\nOrigin Energy\n21/04/2025\nAmount: $58.30", dict(vendor="Origin")),
-    ("salary 640 lee", dict(category_hint="wages", vendor="salary lee")),
-    ("", dict(amount=None, vendor=None, gst_basis="none")),
-    ("order 12.50/3 7 8", dict(amount=None)),
-    ("x Total $5.00", dict(amount=5.0)),
-]
-
-
-def test_readings(spark):
-    rows = [(i, t) for i, (t, _) in enumerate(READINGS)]
-    df = spark.createDataFrame(rows, "i int, t string")
-    got = {r["i"]: r["reading"] for r in read_text(df, F.col("t")).collect()}
-    for i, (text, expected) in enumerate(READINGS):
-        for field, value in expected.items():
-            found = got[i][field] if field == "gst_basis" else got[i][field]["value"]
-            assert found == value, (text, field, found, value)
-
-
 def test_learned_names_as_list_and_as_frame(spark):
     df = spark.createDataFrame([("MORA AND COUSINS ROOFINQ\nTotal $410.00",)], "t string")
     names = ["mora and cousins roofing"]
@@ -99,18 +19,6 @@ def test_learned_names_as_list_and_as_frame(spark):
         assert reading["vendor_resolved_to"]["value"] == "mora and cousins roofing"
 
 
-def test_garbage(spark):
-    cases = {
-        "Oq zel ta FR 8k mi TO VS Lu e du ni PAV to Ge UX OSKIR m": True,
-        "wages 730 marta": False,
-        "NORTHERN STATIONERY LIMITED KOCHI IN DATE 14/06/2011 TIME AMOUNT Rs 472.15 TOTAL Rs": False,
-        "ab cd ef gh one two six ten": True,
-        "ab cd ef one two six ten nine": False,
-    }
-    df = spark.createDataFrame([(k,) for k in cases], "t string")
-    assert [r[0] for r in df.select(X.is_garbage(F.col("t"))).collect()] == list(cases.values())
-
-
 ANSWER = {"amount": 245.0, "vendor": "Telstra", "date": "10/08/2026", "abn": None, "gst_basis": "inclusive", "category": "utilities", "confidence": "high"}
 
 
@@ -126,7 +34,7 @@ def test_sources_and_answers(spark):
     plain = json.dumps(ANSWER)
     fenced = "Sure!\n```json\n" + plain.replace("gst_basis", "gst\\_basis").replace('"high"}', '"high",}') + "\n```\nDone"
     made_up = json.dumps({**ANSWER, "amount": 999.0})
-    noise = "Oq zel ta FR 8k mi TO VS Lu e du ni PAV to Ge UX OSKIR m 77"
+    noise = "ux ol re Qa vi do 9 em ta li ro Su pe no wa xi 77"
     shown = "Telstra no total 24 5 of 10/08/2026"
     rows = [
         (1, "$245.00 10/08/2026 Telstra", None, plain, plain),
@@ -214,14 +122,11 @@ def test_learned_names_keep_a_narrow_checkpoint(spark, monkeypatch):
 
 
 LABELS = [
-    ("t1", "text", "wages 730 marta", {"amount": 730.0, "vendor": "marta"}, True),
-    ("t2", "text", "21/04/2025 Caltex GST INCLUSIVE $58.30", {"amount": 58.3, "date": "2025-04-21", "vendor": "Caltex", "gst": 5.3, "gst_basis": "inclusive"}, True),
-    ("t3", "text", "Nora's Tiling $310.00", {"amount": 310.0, "vendor": "Nora's Tiling"}, True),
-    ("t4", "text", "Subtotal: $150.00\nGST: $15.00\nTotal: $165.00", {"amount": 165.0, "gst": 16.5, "gst_basis": "exclusive"}, True),
-    ("t5", "text", "Stone-Bridge Roofing\n21/04/2025\nAmount: $310.00", {"amount": 310.0, "date": "2025-04-21", "vendor": "Stone-Bridge Roofing"}, True),
-    ("t6", "image", "Ca1tex\n7/4/25\nAmount: $44.75", {"amount": 44.75, "date": "2025-04-07", "vendor": "Caltex"}, True),
-    ("t7", "image", "THREE THOUSAND SEVEN HUNDRED AND TWENTY RUPEES ONLY", {"amount": 3720.0}, True),
-    ("t8", "text", "see you at the market", {}, False),
+    ("own1", "image", "Quill & Daughters\nDate: 2023-11-30\nTotal $1,204.40\nGST inclusive", {"amount": 1204.4, "date": "2023-11-30", "gst": 109.49, "gst_basis": "inclusive"}, True),
+    ("own2", "image", "ninety nine dollars only", {"amount": 99.0}, True),
+    ("own3", "text", "Paddock 12.12.2023 AUD 66 plus gst", {"amount": 66.0, "date": "2023-12-12", "vendor": "Paddock", "gst": 6.6, "gst_basis": "exclusive"}, True),
+    ("own4", "text", "rent 1900", {"amount": 1900.0}, True),
+    ("own5", "text", "can you call me back tonight", {}, False),
 ]
 
 
@@ -231,13 +136,13 @@ def test_labels_from_folder_to_report(spark, tmp_path):
     from paperledger.sources import readers, writers
 
     for name, kind, words, expected, bill in LABELS:
-        label = {"id": name, "kind": kind, ("text" if kind == "text" else "ocr_text"): words, "source": "own", "should_log": bill, "hard": name == "t7", "expected": expected}
+        label = {"id": name, "kind": kind, ("text" if kind == "text" else "ocr_text"): words, "source": "own", "should_log": bill, "hard": name == "own2", "expected": expected}
         (tmp_path / f"{name}.json").write_text(json.dumps(label))
     labels, bad = readers.read_labels(spark, str(tmp_path))
     scored = E.score(extract_bills(labels, text=F.col("text"), ocr_text=F.col("ocr_text")))
     metrics = E.aggregate(scored)
     m = metrics.head()
-    assert bad.count() == 0 and (m["bills"], m["success_rate"], m["hard_rate"], m["non_bills"], m["non_bills_safe"]) == (7, 1.0, 1.0, 1, 1)
+    assert bad.count() == 0 and (m["bills"], m["success_rate"], m["hard_rate"], m["non_bills"], m["non_bills_safe"]) == (4, 1.0, 1.0, 1, 1)
     assert [m[f"{f}_correct"] == m[f"{f}_n"] for f in ("amount", "date", "vendor", "gst")] == [True] * 4 and m["gst_n"] == 2
     grades = metrics.select(F.col("gate_high").alias("high"), F.col("gate_partial").alias("partial"), F.col("gate_low").alias("low"))
     writers.write_report(writers.run_report(metrics, E.criteria(metrics), grades), str(tmp_path / "report"))
