@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import re
+import json
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,52 +12,58 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperledger.llm.common import Remembered, text_of
+from paperledger.llm.common import text_of
 
 WINDOW, END = 1024, 0
-#: Open windows beyond which documents are cut to close some; words whose ids a worker remembers.
-MAX_OPEN, MEMORY = 512, 600_000
-
-#: Unicode white space, at which the tokenizer's own rule cuts a text before it merges.
-_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_SEGMENT = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-
+#: Open windows beyond which documents are cut to close some; bytes of ids and rows that a task holds back before it sends them on.
+MAX_OPEN, SEND_BYTES, SEND_ROWS = 512, 1 << 21, 4000
 
 # How the vocabulary spells bytes; printable ones as themselves, the others from 256 on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
-_SPELLED = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_SPELLED = {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)} | {chr(b): b for b in _PRINTABLE}
+# Fixed value: the pieces that byte-level merging never joins.
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 
+def _ranked(path: str) -> Callable[[str], bytes] | None:
+    """An encoder by merge ranks, where the file is a plain byte-level one whose ids follow the merges; it gives the same ids."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    model, added = spec["model"], spec["added_tokens"]
+    cut = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    plain = model["type"] == "BPE" and not spec.get("normalizer") and {k: (spec.get("pre_tokenizer") or {}).get(k) for k in cut} == cut
+    plain &= not any(model.get(k) for k in ("dropout", "ignore_merges", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix"))
+    plain &= not any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added)
+    if not plain:
+        return None
+    merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    special = {t["content"]: t["id"] for t in added}
+    ranks = {bytes(_SPELLED[c] for c in token): rank for token, rank in model["vocab"].items() if token not in special}
+    if merged != sorted(merged) or len(ranks) != len(merged) + 256:
+        return None
+    import tiktoken
 
-class _Words(Remembered):
-    """Ids of segments by the tokenizer. A segment is a run of white space with the run of other
-    characters behind it; the tokenizer never merges across its start, so texts are sums of segments."""
+    encoding = tiktoken.Encoding("own", pat_str=_PIECES, mergeable_ranks=ranks, special_tokens=special)
+    allowed = set(special)
+    return lambda text: encoding.encode_to_numpy(text, allowed_special=allowed, disallowed_special=()).astype("<u4").tobytes()
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        super().__init__(self._ids, MEMORY)
+def _library(path: str) -> Callable[[str], bytes]:
+    from tokenizers import Tokenizer
 
-    def _ids(self, segment: str) -> bytes:
-        if segment[-1] in ".,":
-            if segment[-2:-1].isalpha():  # the tokenizer parts letters and points before it merges
-                return self[segment[:-1]] + self[segment[-1]]
-        elif segment[segment[0] == " " :].isalpha():  # one word, which goes to the merges as it is
-            word = segment.encode().decode("latin-1").translate(_SPELLED)
-            return np.array([token.id for token in self.tokenizer.model.tokenize(word)], "<u4").tobytes()
-        return np.array(self.tokenizer.encode(segment, add_special_tokens=False).ids, "<u4").tobytes()
+    tokenizer = Tokenizer.from_file(path)
+    return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-_WORDS: dict[str, _Words] = {}
+_ENCODERS: dict[str, Callable[[str], bytes]] = {}
 
 
 def encode(text: str, path: str) -> bytes:
-    """The ids of a text, little-endian, 4 bytes each."""
-    words = _WORDS.get(path)
-    if words is None:
-        words = _WORDS[path] = _Words(path)
-    return b"".join(map(words.__getitem__, _SEGMENT.findall(text)))
+    """The ids of a text, little-endian, 4 bytes each, as the tokenizer of this file gives them; nothing is added."""
+    encoder = _ENCODERS.get(path)
+    if encoder is None:
+        encoder = _ENCODERS[path] = _ranked(path) or _library(path)
+    return encoder(text)
 
 
 class Packer:
@@ -184,7 +190,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         for row in packed(documents(), packer):
             rows.append(row)
             size += len(row[3])
-            if size > 1 << 24:
+            if size > SEND_BYTES or len(rows) >= SEND_ROWS:
                 yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
                 rows, size = [], 0
         if rows:

@@ -76,7 +76,6 @@ def test_fingerprints_on_odd_rows(spark, odd, odd_rows, nothing):
 
 def check_pieces(rows, texts, window=1024):
     tokenizer = Tokenizer.from_file(BPE)
-    tokenizer.encode_special_tokens = True
     ends, padding = {}, 0
     for doc, text in texts.items():
         ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4")
@@ -120,15 +119,16 @@ def test_the_rule_takes_the_level_that_leaves_the_least_squares():
         assert (packer.levels[packer.padded] ** 2).sum() == min(options)
 
 
-def test_segments_encode_like_whole_texts():
+def test_ids_are_those_of_the_library():
     import random
 
     rng, tokenizer = random.Random(1), Tokenizer.from_file(BPE)
-    tokenizer.encode_special_tokens = True
     parts = ["a", "B", " ", "  ", "\n", "\t", chr(0xA0), chr(0x2003), chr(0x85), chr(0x1C), "!", "'s", "é", "9", "²", "_", "<|endoftext|>", "漢"]
     for _ in range(3000):
         text = "".join(rng.choices(parts, k=rng.randint(0, 12)))
         assert packing.encode(text, BPE) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert packing._ranked(BPE) is not None
+    assert np.frombuffer(packing.encode("x <|endoftext|> y", BPE), "<u4").tolist() == [87, 220, 50256, 331]
 
 
 # Personal data

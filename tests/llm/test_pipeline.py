@@ -5,10 +5,10 @@ import pytest
 
 from paperledger.llm import langid, pii
 from paperledger.llm.queries import ORACLES, QUERIES
-from paperledger.llm.simhash import simhash
 from tests.llm.conftest import clashing
-from tests.llm.test_dedup import brute_components, brute_lines
+from tests.llm.test_dedup import brute_lines
 from tests.llm.test_models import check_pieces
+from tests.llm.test_near import brute_kept
 
 
 @pytest.fixture(scope="module")
@@ -31,8 +31,8 @@ def test_each_stage_against_brute_force(stages, sample):
     texts = brute_lines([(r["doc_id"], r["text"]) for r in spoken])
     assert {r["doc_id"]: r["text"] for r in lines} == {d: text for d, (text, _, _) in texts.items()}
     assert all(r["n_chars"] == len(r["text"]) and (r["lang"], r["source"]) == (s["lang"], s["source"]) for r, s in zip(lines, spoken))
-    label = brute_components([r["doc_id"] for r in lines], [simhash(r["text"].encode()) for r in lines])
-    assert near == [r for r in lines if label[r["doc_id"]] == r["doc_id"]] and len(near) < len(lines)
+    kept = brute_kept([(r["doc_id"], r["text"]) for r in lines])
+    assert near == [r for r in lines if r["doc_id"] in kept] and len(near) < len(lines)
     for before, after in zip(near, masked, strict=True):
         base = pii.base_spans(before["text"])
         assert not pii.base_spans(after["text"]) and (base or before == after)
@@ -56,5 +56,5 @@ def test_stages_on_odd_rows(spark, odd, nothing, sf_dir, tmp_path):
 
 
 def test_registered_queries():
-    assert {q.split("_")[0] for q in QUERIES} == {*(f"op{n}" for n in range(1, 11)), "pipeline"}
+    assert {q.split("_")[0] for q in QUERIES} == {*(f"op{n}" for n in range(1, 14)), "pipeline"}
     assert set(ORACLES) <= set(QUERIES)
