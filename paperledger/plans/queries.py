@@ -6,6 +6,7 @@ tables, with self-joins and patterns where the Spark job uses windows and rules.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,12 +18,15 @@ from paperledger.operators import analytics as A
 from paperledger.operators import duplicates as D
 from paperledger.operators import evaluate as E
 from paperledger.operators import ledger as L
+from paperledger.operators import limits as LM
+from paperledger.operators import lookup as LO
 from paperledger.operators import pipeline as P
 from paperledger.operators import reports as R
+from paperledger.operators import totals as TO
 from paperledger.operators.extract import extract_bills
 from paperledger.operators.vendors import merge_known_vendors, newest_logged_vendors, resolve_vendors
 from paperledger.plans import views as VW
-from paperledger.plans.lineage import cut_lineage
+from paperledger.plans.lineage import cut_lineage, shared_folder
 from paperledger.sources import readers, writers
 from paperledger.streaming import jobs
 
@@ -1127,8 +1131,78 @@ def message_rates(spark, d):
     return jobs.rate_per_minute(e, 1, 2).select("user_phone", _stamp("minute"), "messages", "over_limit", "over_burst")
 
 
+# Events at 1,440 times their pace, so that the buckets of one token a minute run dry.
+@query("""
+with recursive paced as (
+  select cast(user_id as varchar) as user_phone, cast(event_id as varchar) as m, cast(floor(epoch_ms(ts) / 1440) as bigint) as moment from events),
+line as (select *, row_number() over (partition by user_phone order by moment, m) as k from paced),
+walk as (
+  select user_phone, m, moment, k, true as passed, cast(180000 - 60000 as bigint) as level from line where k = 1
+  union all
+  select user_phone, m, moment, k, level >= 60000, case when level >= 60000 then level - 60000 else level end
+  from (select l.*, least(180000, w.level + (l.moment - w.moment) * 1) as level from walk w join line l on l.user_phone = w.user_phone and l.k = w.k + 1))
+select user_phone, m as wa_message_id, passed, cast(level // 60000 as bigint) as tokens from walk""")
+def throttled_messages(spark, d):
+    e = VW.table(spark, d, "events")
+    paced = F.timestamp_millis(F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 1440).cast("bigint"))
+    messages = e.select(F.col("user_id").cast("string").alias("user_phone"), F.col("event_id").cast("string").alias("wa_message_id"), paced.alias("wa_received_at"))
+    return LM.throttled(messages, 1, 3).select("user_phone", "wa_message_id", "passed", "tokens")
+
+
 # --- reports ----------------------------------------------------------------
 
+
+# The ledger after two rounds of corrections: every ninth bill undone, every tenth amount doubled.
+_CORRECTED = LEDGER + """,
+corrected as (select * replace (case when bill_id % 10 = 0 then cast(2 * amount as decimal(18,2)) else amount end as amount,
+    coalesce(category, 'misc') as category) from logged where bill_id % 9 <> 0)
+"""
+
+
+def _running_sums(spark, d):
+    """The ledger in eight batches, then the undone bills, then the corrected ones."""
+    bills = VW.ledger(spark, d)
+    key, sign = F.col("bill_id"), lambda df, n: df.withColumn("sign", F.lit(n))
+    store = TO.RunningSums(spark, f"{shared_folder(spark)}/sums-{uuid.uuid4().hex}", fanout=4)
+    for k in range(8):
+        store.add(sign(bills.filter(key % 8 == k), 1), k)
+    store.add(sign(bills.filter(key % 9 == 0), -1), 8)
+    wrong = bills.filter((key % 10 == 0) & (key % 9 != 0))
+    right = wrong.withColumn("amount", (F.col("amount") * 2).cast("decimal(18,2)"))
+    store.add(sign(wrong, -1).unionByName(sign(right, 1)), 9)
+    return store.sums()
+
+
+@query(_CORRECTED + """
+select 'all' as kind, '' as name, count(*) as bills, cast(coalesce(sum(amount), 0) as double) as amount from corrected
+union all select 'category', category, count(*), cast(sum(amount) as double) from corrected where amount is not null group by category
+union all (select 'vendor', vendor, count(*), cast(sum(amount) as double) from corrected where amount is not null and vendor is not null group by vendor)
+union all select 'day', strftime(confirmed_at, '%Y-%m-%d'), count(*), cast(sum(amount) as double) from corrected where amount is not null group by 2
+union all select 'month', strftime(confirmed_at, '%Y-%m'), 0, 0.0 from corrected group by 2""")
+def totals_from_sums(spark, d):
+    sums = _running_sums(spark, d)
+    zero = [F.lit(0).cast("bigint").alias("bills"), F.lit(0.0).alias("amount")]
+    out = TO.totals(sums).select(F.lit("all").alias("kind"), F.lit("").alias("name"), "bills", "amount")
+    for by in ("category", "vendor", "day"):
+        out = out.unionByName(TO.spend(sums, by).select(F.lit(by).alias("kind"), F.col(by).alias("name"), "bills", "amount"))
+    return out.unionByName(TO.options(sums).filter("kind = 'month'").select("kind", F.col("value").alias("name"), *zero))
+
+
+@query(LEDGER + """,
+asked as (select c_custkey as user_id, unnest([c_custkey * 10, c_custkey * 10 + 1, c_custkey * 10 + 2, c_custkey * 10 + 3]) as request_id from customer),
+worded as (select *, case request_id % 10 when 0 then ['rent'] when 1 then ['march'] when 2 then ['widqet'] else ['misc', 'jan'] end as words from asked),
+fit as (select w.request_id, l.bill_id, l.confirmed_at from worded w join logged l using (user_id)
+  where len(list_filter(w.words, lambda x: not (x in (coalesce(l.category, 'misc'), lower(strftime(l.confirmed_at, '%B')), lower(strftime(l.confirmed_at, '%b')))
+    or len(list_filter(string_split_regex(lower(coalesce(l.vendor, '')), '[^a-z0-9]+'), lambda v: v = x or (length(v) >= 4 and length(x) >= 4 and levenshtein(v, x) <= 1))) > 0))) = 0)
+select request_id, row_number() over (partition by request_id order by confirmed_at desc, bill_id desc) as rank, bill_id from fit
+qualify rank <= 5""")
+def search_requests(spark, d):
+    user = F.col("c_custkey")
+    texts = F.array(*map(F.lit, ("find rent", " March ", "show widqet", "misc, jan")))
+    asked = VW.table(spark, d, "customer").select(user.alias("user_id"), F.posexplode(texts).alias("pos", "text"))
+    asked = asked.select("user_id", (F.col("user_id") * 10 + F.col("pos")).alias("request_id"), "text")
+    return LO.search_requests(asked, LO.index_bills(VW.ledger(spark, d)))
+
 _MEMBERS_SQL = """
 members as (select cast(c_nationkey as bigint) as business_id, c_custkey as user_id,
   case when c_custkey = min(c_custkey) over (partition by c_nationkey) then 'owner' else 'staff' end as role from customer)
