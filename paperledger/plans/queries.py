@@ -20,6 +20,7 @@ from paperledger.operators import evaluate as E
 from paperledger.operators import ledger as L
 from paperledger.operators import limits as LM
 from paperledger.operators import lookup as LO
+from paperledger.operators import measures as M
 from paperledger.operators import pipeline as P
 from paperledger.operators import reports as R
 from paperledger.operators import totals as TO
@@ -1325,6 +1326,17 @@ def kpis(spark, d):
     return R.kpis(bills)
 
 
+@query(LEDGER + """
+select business_id, strftime(confirmed_at, '%Y') as year, count(amount) as bills, quantile_cont(cast(amount * 100 as bigint), 0.5) as median_cents, count(distinct user_id) filter (amount is not null) as users
+from logged where amount is not null group by 1, 2""")
+def median_bills(spark, d):
+    cents = (F.col("amount") * 100).cast("long").alias("cents")
+    bills = A.logged(VW.ledger(spark, d)).filter("amount is not null").select("business_id", F.date_format("confirmed_at", "yyyy").alias("year"), "user_id", cents)
+    keys = ["business_id", "year"]
+    found = M.exact_median(bills, keys, "cents").join(M.exact_distinct(bills, keys, "user_id"), keys)
+    return found.select(*keys, F.col("n").alias("bills"), F.col("median").alias("median_cents"), F.col("different").alias("users"))
+
+
 @query("select strftime(ts, '%Y-%m-%d') as day, count(distinct user_id) as users from events group by 1")
 def daily_users(spark, d):
     e = VW.table(spark, d, "events").select(F.col("user_id").alias("user_phone"), F.col("ts").alias("wa_received_at"))
