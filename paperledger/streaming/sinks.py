@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from paperledger.operators.ledger import onboard
 
@@ -46,3 +46,23 @@ def onboard_stream(messages: DataFrame, folder: str, checkpoint: str) -> DataStr
 def settings_stream(changes: DataFrame, folder: str, checkpoint: str) -> DataStreamWriter:
     """Setting changes as they come; ``latest_settings`` over ``read_grown`` gives the state."""
     return grow(changes, folder, checkpoint, changes.schema, lambda batch, _: batch)
+
+
+def counted(steps: DataFrame) -> DataFrame:
+    """The steps of a stream, with the number of reminders, expiries, logged and undone bills of each batch observed."""
+    event = lambda *names: F.count_if(F.col("event").isin(*names)).alias(names[0])
+    return steps.observe("steps", event("nudged"), event("expired"), event("auto_logged"), event("confirmed"), event("undone"), F.count("*").alias("steps"))
+
+
+COUNTERS = "batch long, nudged long, expired long, auto_logged long, confirmed long, undone long, steps long, late long"
+
+
+def counters(query: StreamingQuery) -> DataFrame:
+    """``COUNTERS`` of the batches whose progress the query still holds: what was observed, and the rows that came behind the watermark."""
+    names = [part.split()[0] for part in COUNTERS.split(", ")]
+    rows = []
+    for progress in query.recentProgress:
+        seen = progress.observedMetrics.get("steps")
+        late = sum(operator.numRowsDroppedByWatermark for operator in progress.stateOperators)
+        rows.append((progress.batchId, *(seen[n] if seen is not None else 0 for n in names[1:-1]), late))
+    return SparkSession.active().createDataFrame(rows, COUNTERS)

@@ -200,3 +200,28 @@ def test_setting_rows_reach_every_user_of_a_business(spark):
     rows = P.setting_rows(changes, users, like)
     assert rows.columns == like.columns
     assert sorted((r["user_phone"], r["kind"], r["auto_save"]) for r in rows.collect()) == [("a", "setting", False), ("b", "setting", False)]
+
+
+def test_the_stream_counts_what_happens_and_what_comes_late(spark):
+    from paperledger.streaming import sinks
+
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    parts = [
+        [photo("a", "a1", 0, auto=False), photo("b", "b1", 0, 20.0)],
+        [text("b", "b2", 100, "delete")],  # the draft of a is reminded and expires
+        [photo("c", "c1", 200, 30.0)],
+        [text("c", "c2", 20, "help"), text("c", "c3", 201, "delete")],  # one of them is far behind
+        [photo("zz", "zz", 9000)],
+    ]
+    for part in parts:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(folder + "/in")
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder + "/in")
+    steps = sinks.counted(jobs.draft_stream(stream))
+    query = steps.writeStream.format("parquet").option("path", folder + "/out").option("checkpointLocation", folder + "/state").trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    total = sinks.counters(query).agg(*[F.sum(c).alias(c) for c in ("nudged", "expired", "auto_logged", "undone", "steps", "late")]).head()
+    out = spark.read.parquet(folder + "/out")
+    events = [r["event"] for r in out.collect()]
+    assert {c: total[c] for c in ("nudged", "expired", "auto_logged", "undone")} == {c: events.count(c) for c in ("nudged", "expired", "auto_logged", "undone")}
+    assert (total["nudged"], total["expired"], total["undone"], total["steps"], total["late"]) == (1, 1, 2, len(events), 1)
+    assert out.filter("event = 'help'").count() == 0
