@@ -28,6 +28,7 @@ from paperledger.operators.extract import extract_bills
 from paperledger.operators.vendors import merge_known_vendors, newest_logged_vendors, resolve_vendors
 from paperledger.plans import views as VW
 from paperledger.plans.lineage import cut_lineage, shared_folder
+from paperledger.schemas import EXTRACTION
 from paperledger.sources import readers, writers
 from paperledger.streaming import jobs
 
@@ -1371,3 +1372,68 @@ def shared_bills(spark, d):
         F.when(key < 20, _ts("2030-01-01 00:00:00")).otherwise(_ts("2001-01-01 00:00:00")).alias("expires_at"),
     )
     return R.shared_bills(VW.ledger(spark, d), links, "t3", _ts(AS_OF)).select("bill_id", "business_id")
+
+
+# --- stored drafts, lists and zones -----------------------------------------
+
+
+@query("""
+select 'd' || o_orderkey as bill_id,
+  strftime(case when o_orderkey % 3 = 0 then o_orderdate else o_orderdate + interval 2 hour end, '%Y-%m-%d %H:%M:%S') as confirmed_at,
+  case when read and o_orderkey % 7 <> 0 then strftime(o_orderdate, '%Y-%m-%d') end as date,
+  case when read then 'Shop ' || o_orderkey % 20 end as vendor,
+  case when read and o_orderkey % 4 = 0 then 'Store ' || o_orderkey % 20 end as vendor_resolved_to,
+  case when read and o_orderkey % 5 <> 0 then o_orderpriority else 'misc' end as category,
+  case when read then o_totalprice end as amount,
+  case when read and o_orderkey % 2 = 1 then cast(o_custkey as double) end as gst,
+  case when read then case when o_orderkey % 2 = 1 then 'printed' else 'none' end end as gst_basis,
+  case when read then 'INV-' || o_orderkey end as invoice_number,
+  case when read and o_orderkey % 2 = 0 then '5' || o_custkey end as abn,
+  o_orderkey % 6 = 1 as auto_logged, o_orderstatus as gate_level
+from (select *, o_orderkey % 11 <> 0 as read from orders)""")
+def flat_drafts(spark, d):
+    """Drafts written as the stored table, read back by its schema and laid flat."""
+    key = F.col("o_orderkey")
+    text = key.cast("string")
+    made = F.col("o_orderdate").cast("timestamp")
+
+    def read(value):
+        return F.struct(value, F.lit(0.9))
+
+    raw = F.struct(
+        read(F.col("o_totalprice")), read(F.when(key % 7 != 0, V.day_key(made))), read(F.concat(F.lit("Shop "), (key % 20).cast("string"))),
+        read(F.when(key % 4 == 0, F.concat(F.lit("Store "), (key % 20).cast("string")))), read(F.when(key % 2 == 0, F.concat(F.lit("5"), F.col("o_custkey").cast("string")))),
+        read(F.when(key % 2 == 1, F.col("o_custkey").cast("double"))), F.when(key % 2 == 1, "printed").otherwise("none"),
+        read(F.concat(F.lit("INV-"), text)), read(F.lit(None).cast("string")), read(F.when(key % 5 != 0, F.col("o_orderpriority"))),
+    )
+    stored = VW.table(spark, d, "orders").select(
+        F.concat(F.lit("d"), text).alias("id"), F.lit("photo").alias("type"), F.array().cast("array<string>").alias("image_urls"),
+        F.when(key % 11 != 0, raw).cast(EXTRACTION).alias("raw_extraction"), F.col("o_orderstatus").alias("gate_level"),
+        F.when(key % 6 == 1, True).when(key % 6 != 0, False).alias("auto_logged"), F.lit("logged").alias("status"),
+        made.alias("created_at"), F.when(key % 3 != 0, made + F.expr("interval 2 hours")).alias("confirmed_at"),
+    )
+    folder = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    stored.write.parquet(f"{folder}/transactions")
+    return A.flatten_draft(readers.read_drafts(spark, folder)).withColumn("confirmed_at", _stamp("confirmed_at"))
+
+
+@query("""
+select event_id, case when event_id % 5 >= 3 then 2 else 0 end as n,
+  case when event_id % 5 = 3 then event_type || '|' || user_id when event_id % 5 = 4 then 'a "b"|' || event_type else '' end as items
+from events""")
+def decoded_lists(spark, d):
+    key, kind = F.col("event_id"), F.col("event_type")
+    text = F.when(key % 5 == 0, F.concat(F.lit('["'), kind)).when(key % 5 == 2, "[]")
+    text = text.when(key % 5 == 3, F.format_string('["%s", "%s"]', kind, F.col("user_id").cast("string"))).when(key % 5 == 4, F.format_string('["a \\"b\\"", "%s"]', kind))
+    items = V.decode_list(text)
+    return VW.table(spark, d, "events").select("event_id", F.size(items).alias("n"), F.array_join(items, "|").alias("items"))
+
+
+@query("""
+select c_custkey, case c_custkey % 10 when 0 then 'Australia/Sydney' when 1 then 'Australia/Sydney' when 2 then 'Australia/Perth'
+  when 3 then 'Australia/Brisbane' when 4 then 'Australia/Hobart' when 5 then 'Australia/Darwin' when 6 then 'Australia/Adelaide'
+  when 7 then 'Australia/Sydney' end as zone from customer""")
+def city_zones(spark, d):
+    cities = F.array(*map(F.lit, [" Sydney", "MELBOURNE", "perth\n", "Brisbane ", "hoBart", "darwin", "\tAdelaide", "Canberra", "perth road", ""]))
+    zone = V.city_zone(F.get(cities, (F.col("c_custkey") % 10).cast("int")))
+    return VW.table(spark, d, "customer").select("c_custkey", zone.alias("zone"))

@@ -10,7 +10,7 @@ from tools.check import TABLES, rows_of, same
 NAMES = [
     "spend_by_category", "top_vendors_by_business", "scope_month_category", "accountant_lines", "duplicate_gate",
     "value_rules", "parsed_amounts", "answered_bills", "canonical_vendors", "active_drafts", "nudge_due", "undo_requests",
-    "routed_messages", "parsed_messages", "daily_net", "tax_quarters", "cash_flow", "kpis", "visible_bills",
+    "routed_messages", "parsed_messages", "daily_net", "tax_quarters", "cash_flow", "kpis", "visible_bills", "flat_drafts", "decoded_lists", "city_zones",
 ]
 
 
