@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -37,10 +39,78 @@ MIN_PAGES, LEAST, GAMMA = 5, 0.1, 0.9
 #: Branches up to which the table of removed ones is broadcast; above, it is joined by host.
 BROADCAST_ROWS = 100_000
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^<>]*+)>|<[!?][^>]*+>", re.S)
+# A tag up to its end, as long as no other tag opens inside it: what fails here stops at the next "<", so a scan is linear.
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/<>]*+)((?:[^<>\"']|\"[^<\"]*+\"|'[^<']*+')*+)>")
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PARTS = re.compile(r"[a-z]+")
-_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
+_END = {tag: re.compile(rf"</{tag}\b", re.I) for tag in RAW}
+_NAME_END, _MARK, _ANGLE = re.compile(r"[\s/>]"), re.compile("[>\"']"), re.compile("[<>]")
+_LONG = re.compile(r"&#([0-9]{9,})")
+
+#: Texts below a branch are hashed in order by a polynomial of this base, modulo a prime.
+_BASE, _PRIME = 0x5BD1E9955BD1E995 % ((1 << 61) - 1), (1 << 61) - 1
+
+
+def unescape(text: str) -> str:
+    """Character references decoded; a number beyond all characters is U+FFFD however long it is."""
+    if "&#" in text:
+        text = _LONG.sub(lambda m: "&#" + (number if len(number := m[1].lstrip("0") or "0") < 8 else "1114112"), text)
+    return html.unescape(text)
+
+
+class _Next:
+    """The next place of a pattern at or after a position, asked for in ascending order; each character is searched once."""
+
+    def __init__(self, pattern: re.Pattern, source: str):
+        self.pattern, self.source, self.asked, self.found = pattern, source, 0, -1
+
+    def __call__(self, at: int) -> int:
+        if not self.asked <= at <= self.found:
+            m = self.pattern.search(self.source, at)
+            self.asked, self.found = at, m.start() if m else len(self.source)
+        return self.found
+
+
+class _BrokenTags:
+    """Tags that other tags seem to open inside, in time linear over all of a page.
+
+    A quote that led to no end of a tag before leads to none again.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.dead = source, set()
+        self.name_end, self.mark, self.angle = (_Next(x, source) for x in (_NAME_END, _MARK, _ANGLE))
+
+    def _quoted_end(self, at: int) -> int:
+        """Where the first ``>`` outside of quotes is; -1 if there is none."""
+        source, passed, at = self.source, [], self.mark(at)
+        while at < len(source) and source[at] != ">":
+            close = -1 if at in self.dead else source.find(source[at], at + 1)
+            passed.append(at)
+            if close < 0:
+                at = len(source)
+            elif m := _MARK.search(source, close + 1):
+                at = m.start()
+            else:
+                at = len(source)
+        if at < len(source):
+            return at
+        self.dead.update(passed)
+        return -1
+
+    def __call__(self, at: int) -> tuple[str, str, str, int] | None:
+        """Slash, name, attributes and end of the tag at this ``<``; None if it is text."""
+        source = self.source
+        first = at + 1 + source.startswith("/", at + 1)
+        if not ("a" <= source[first : first + 1].lower() <= "z"):
+            return None
+        stop = self.name_end(first)
+        end = self._quoted_end(stop)
+        if end < 0:
+            end = self.angle(stop)
+            if source[end : end + 1] != ">":
+                return None
+        return source[at + 1 : first], source[first:stop], source[stop:end], end + 1
 
 
 class _Element:
@@ -51,29 +121,45 @@ class _Element:
 
 
 class Page:
-    """One page, read once: text blocks in order, each with the place it stands in, and its branches.
+    """One page, read once and in linear time: text blocks in order, each with the place it stands in, and its branches.
 
-    ``blocks``: ``[text, in_article, in_main]``. ``branches``: key, child tags
-    and the texts below, of each element in ``BRANCHES``; ``spans``: the blocks
-    below. ``removed``: keys of branches to leave out.
+    ``blocks``: ``[text, in_article, in_main]``. By key of each element in
+    ``BRANCHES``: ``looks``, its child tags; ``texts``, the hash of the texts
+    below; ``spans``, the blocks below. ``removed``: keys to leave out.
     """
 
     def __init__(self, source: str, removed: frozenset[int] = frozenset()):
         self.blocks: list[tuple[str, bool, bool]] = []
-        self.branches: dict[int, tuple[list[str], list[str]]] = {}
+        self.looks: dict[int, list[str]] = {}
+        self.texts: dict[int, int] = {}
         self.spans: dict[int, list[range]] = {}
         self.removed = removed
         self.parts: list[str] = []
         self.stack = [_Element("", 0, False, False, False, 0)]
+        self.opened: Counter[str] = Counter()  # how often each tag is on the stack
+        self.block_at: list[int] = []  # where block elements are on the stack
+        self.hashes, self.powers = [0], [1]  # of the first k texts; of the base
         self._read(source)
 
     def _read(self, source: str) -> None:
-        at = 0
-        while m := _TOKEN.search(source, at):
-            if m.start() > at:
-                self._text(source[at : m.start()])
-            at = m.end()
-            close, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        broken, at, last = _BrokenTags(source), 0, source.rfind(">")
+        done = 0
+        while (at := source.find("<", at)) >= 0:
+            if source.startswith("<!--", at):
+                end = source.find("-->", at + 4)
+                tag, found = None, (len(source) if end < 0 else end + 3)
+            elif source[at + 1 : at + 2] in ("!", "?") and at < last:
+                tag, found = None, source.find(">", at + 2) + 1
+            elif m := _TAG.match(source, at):
+                close, tag, attributes, found = m[1], m[2], m[3], m.end()
+            elif at < last and (one := broken(at)):
+                close, tag, attributes, found = one
+            else:
+                at += 1
+                continue
+            if at > done:
+                self._text(source[done:at])
+            at = done = found
             if not tag:
                 continue
             tag = tag.lower()
@@ -83,17 +169,22 @@ class Page:
             self._open(tag, attributes)
             if tag in _END and not attributes.endswith("/"):
                 end = _END[tag].search(source, at)
-                at = end.end() if end else len(source)
+                stop = source.find(">", end.end()) if end else -1
+                at = done = stop + 1 if stop >= 0 else len(source)
                 self._close(tag)
-        if at < len(source):
-            self._text(source[at:])
+        if done < len(source):
+            self._text(source[done:])
         self._flush()
         while len(self.stack) > 1:
             self._leave()
 
+    def _hash(self, span: range) -> int:
+        """Of the texts of these blocks, in order."""
+        return (self.hashes[span.stop] - self.hashes[span.start] * self.powers[len(span)]) % _PRIME
+
     def _text(self, text: str) -> None:
         if not self.stack[-1].skip:
-            self.parts.append(html.unescape(text))
+            self.parts.append(unescape(text))
 
     def _flush(self) -> None:
         if self.parts:
@@ -102,6 +193,8 @@ class Page:
             if text:
                 top = self.stack[-1]
                 self.blocks.append((text, top.article, top.main))
+                self.hashes.append((self.hashes[-1] * _BASE + xxhash.xxh64_intdigest(text)) % _PRIME)
+                self.powers.append(self.powers[-1] * _BASE % _PRIME)
 
     def _open(self, tag: str, attributes: str) -> None:
         if tag in BLOCKS:
@@ -120,40 +213,45 @@ class Page:
         key = xxhash.xxh64_intdigest(f"{top.key}/{tag}.{' '.join(sorted(parts))}") - (1 << 63)
         skip = top.skip or tag in DROPPED or key in self.removed or (bool(parts & NAMES) and tag not in ("html", "body", "article", "main"))
         skip = skip or (not article and (tag in HEADERS or bool(parts & HEADERS) and tag not in ("html", "body", "main")))
+        self.opened[tag] += 1
+        if tag in BLOCKS:
+            self.block_at.append(len(self.stack))
         self.stack.append(_Element(tag, key, skip, article, main, len(self.blocks)))
 
     def _imply_end(self, tag: str) -> None:
         """An open paragraph ends at a block; an item, cell or row at the next of its kind."""
-        for k in range(len(self.stack) - 1, 0, -1):
+        if self.block_at:
+            k = self.block_at[-1]
             open_tag = self.stack[k].tag
             if open_tag == "p" or open_tag == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
                 while len(self.stack) > k:
                     self._leave()
-                return
-            if open_tag in BLOCKS:
-                return
 
     def _close(self, tag: str) -> None:
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].tag == tag:
-                if tag in BLOCKS:
-                    self._flush()
-                while len(self.stack) > k:
-                    self._leave()
-                return
         if tag in BLOCKS:
             self._flush()
+        if self.opened[tag]:
+            while self.stack[-1].tag != tag:
+                self._leave()
+            self._leave()
 
     def _leave(self) -> None:
         element = self.stack[-1]
         if element.tag in BLOCKS:
             self._flush()
+            self.block_at.pop()
         self.stack.pop()
+        self.opened[element.tag] -= 1
         if element.tag in BRANCHES and not element.skip:
-            children, texts = self.branches.setdefault(element.key, ([], []))
-            children += element.children
-            texts += [text for text, _, _ in self.blocks[element.first :]]
-            self.spans.setdefault(element.key, []).append(range(element.first, len(self.blocks)))
+            span = range(element.first, len(self.blocks))
+            self.looks.setdefault(element.key, []).extend(element.children)
+            self.texts[element.key] = (self.texts.get(element.key, 0) * self.powers[len(span)] + self._hash(span)) % _PRIME
+            self.spans.setdefault(element.key, []).append(span)
+
+    @property
+    def branches(self) -> dict[int, tuple[list[str], list[str]]]:
+        """Child tags and texts below each branch, to look at: nested branches repeat their texts."""
+        return {key: (look, [self.blocks[k][0] for span in self.spans[key] for k in span]) for key, look in self.looks.items()}
 
     def _main(self) -> list[int]:
         """The blocks of the articles; of the main part if there is no article; of the page if there is neither."""
@@ -168,21 +266,55 @@ class Page:
 
     def spare(self, keys: frozenset[int]) -> frozenset[int]:
         """Those of the branches that may go, smallest first: one with over half of the words still there stays, and so do all larger ones."""
-        words = {k: len(self.blocks[k][0].split()) for k in self._main()}
-        below = {key: {k for span in self.spans.get(key, ()) for k in span if k in words} for key in keys}
-        left, gone = sum(words.values()), []
-        for key in sorted(keys, key=lambda key: (sum(words[k] for k in below[key]), key)):
-            size = sum(words[k] for k in below[key])
+        words = np.zeros(len(self.blocks), np.int64)
+        for k in self._main():
+            words[k] = len(self.blocks[k][0].split())
+        sums = np.concatenate(([0], np.cumsum(words)))
+        sizes = {key: sum(int(sums[span.stop] - sums[span.start]) for span in self.spans.get(key, ())) for key in keys}
+        left, gone, taken = int(sums[-1]), [], _Taken(words)
+        for key in sorted(keys, key=lambda key: (sizes[key], key)):
+            spans = self.spans.get(key, ())
+            size = sizes[key] - sum(taken.inside(span) for span in spans)
             if size * 2 > left:
                 break
             gone.append(key)
             left -= size
-            for k in below[key]:
-                words.pop(k, None)
-            below = {key: blocks & words.keys() for key, blocks in below.items()}
+            for span in spans:
+                taken.take(span)
         return frozenset(gone)
 
 
+class _Taken:
+    """Words of the blocks that were taken out: sums over ranges in logarithmic time, each block is taken once."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.tree, self.next = words.tolist(), [0] * (len(words) + 1), list(range(len(words) + 1))
+
+    def _before(self, k: int) -> int:
+        total = 0
+        while k:
+            total += self.tree[k]
+            k &= k - 1
+        return total
+
+    def inside(self, span: range) -> int:
+        return self._before(span.stop) - self._before(span.start)
+
+    def _free(self, k: int) -> int:
+        """The first block from ``k`` on that was not taken."""
+        while self.next[k] != k:
+            self.next[k] = k = self.next[self.next[k]]
+        return k
+
+    def take(self, span: range) -> None:
+        while (k := self._free(span.start)) < span.stop:
+            self.next[k] = k + 1
+            at = k + 1
+            while at < len(self.tree):
+                self.tree[at] += self.words[k]
+                at += at & -at
+
+
 def host_of(url: Column | str) -> Column:
     """The host in lower case; empty where there is none."""
     return F.regexp_extract(F.lower(text_of(url)), r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
@@ -203,9 +335,10 @@ def style_tree(pages: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for host, source in zip(batch["host"], batch["html"]):
-                for key, (children, texts) in Page(source).branches.items():
-                    rows.append((host, key, "look", xxhash.xxh64_intdigest(" ".join(children)) - (1 << 63)))
-                    rows.append((host, key, "text", xxhash.xxh64_intdigest("\n".join(texts)) - (1 << 63)))
+                page = Page(source)
+                for key, look in page.looks.items():
+                    rows.append((host, key, "look", xxhash.xxh64_intdigest(" ".join(look)) - (1 << 63)))
+                    rows.append((host, key, "text", page.texts[key]))
             yield pd.DataFrame(rows, columns=["host", "key", "kind", "value"])
 
     values = pages.where("host <> ''").select("host", "html").mapInPandas(read, "host string, key long, kind string, value long")
