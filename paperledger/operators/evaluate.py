@@ -249,6 +249,23 @@ def date_guard(texts: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def read_entries(extracted: DataFrame, text: str = "text", id_col: str = "id") -> DataFrame:
+    """What a run over texts without labels shows of each: grade, fields with confidence, date fragments, lines."""
+    fields = ["amount", "date", "vendor", "abn", "gst", "invoice_number"]
+    value = lambda f: F.struct(F.col(f"extraction.{f}.value").alias("value"), F.col(f"extraction.{f}.confidence").alias("confidence"))
+    raw = strip(F.col(text))
+    return date_guard(extracted, text).select(
+        F.col(id_col).alias("id"),
+        "gate",
+        "source",
+        F.struct(*[value(f).alias(f) for f in fields]).alias("fields"),
+        X.date_fragments(raw).alias("date_fragments"),
+        "guard_fired",
+        "naive_leak",
+        F.filter(F.split(raw, r"\r?\n"), lambda line: strip(line) != "").alias("raw_lines"),
+    )
+
+
 def guard_rate(guarded: DataFrame) -> DataFrame:
     return guarded.agg(
         F.count("*").alias("texts"),

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperledger.config import DEFAULTS, Settings
-from paperledger.functions.values import normalise_date, parse_amount, strip, unit_length
-from paperledger.schemas import DOMAINS, EDITING_STATES, LOGGED_STATUSES
+from paperledger.functions.values import compute_gst, gate, normalise_date, parse_amount, strip, unit_length
+from paperledger.schemas import DOMAINS, EDITING_STATES, EXTRACTION, LOGGED_STATUSES, empty_extraction
 
 
 def _minutes(n: float) -> Column:
@@ -309,3 +309,32 @@ def check_edits(edits: DataFrame) -> DataFrame:
         F.when(F.col("field") == "vendor", name).alias("vendor_value"),
         F.when(F.col("field") == "date", normalise_date(text)).alias("date_value"),
     ).withColumn("accepted", F.coalesce(F.col("amount_value").cast("string"), "vendor_value", "date_value").isNotNull())
+
+
+def apply_edits(drafts: DataFrame, edits: DataFrame, id_col: str = "id", settings: Settings = DEFAULTS) -> DataFrame:
+    """Drafts after their typed corrections, with tax and grade as they are then.
+
+    ``drafts``: ``extraction`` and ``gst_registered`` (null: registered);
+    ``edits``: the draft's id, ``edited_at`` (anything that orders them),
+    ``field`` and ``text``. The latest accepted correction of each field counts;
+    refused ones change nothing. A typed amount brings its tax along, a typed
+    vendor clears the name it was resolved to. ``gate`` is new where something
+    was corrected, else it stays. A draft's edits are combined before they
+    move, so a draft with very many of them is one row.
+    """
+    fields = {"amount": "amount_value", "vendor": "vendor_value", "date": "date_value"}
+    latest = [F.max_by(v, F.when(F.col(v).isNotNull(), F.struct("edited_at", "text"))).alias(v) for v in fields.values()]
+    last = check_edits(edits).filter("accepted").groupBy(id_col).agg(*latest).withColumn("corrected", F.lit(True))
+    sure = lambda c: F.struct(c.alias("value"), F.lit(1.0).alias("confidence"))
+    kept = lambda new, name, value: F.when(F.col(new).isNotNull(), value).otherwise(F.col("__x")[name])
+    gst = compute_gst(F.col("amount_value"), F.col("__x.gst_basis"), F.coalesce("gst_registered", F.lit(True)))
+    changed = {
+        **{name: kept(new, name, sure(F.col(new))) for name, new in fields.items()},
+        "gst": kept("amount_value", "gst", sure(gst)),
+        "vendor_resolved_to": kept("vendor_value", "vendor_resolved_to", empty_extraction()["vendor_resolved_to"]),
+    }
+    joined = drafts.join(last, id_col, "left").withColumn("__x", F.coalesce("extraction", empty_extraction()))
+    new = F.struct(*[changed.get(c, F.col("__x")[c]).alias(c) for c in EXTRACTION.names])
+    done = joined.withColumn("extraction", F.when(F.col("corrected"), new).otherwise(F.col("extraction")))
+    grade = F.when(F.col("corrected"), gate(F.col("extraction"), settings)).otherwise(F.col("gate"))
+    return done.withColumn("gate", grade).select(*drafts.columns)

@@ -174,6 +174,17 @@ def visible_bills(bills: DataFrame, members: DataFrame) -> DataFrame:
     return bills.select("business_id", "bill_id").join(owners, "business_id").unionByName(other)
 
 
+def bills_of_viewer(bills: DataFrame, members: DataFrame, viewer: Column) -> DataFrame:
+    """The rows that one member may read, each once: those of the businesses owned, and the viewer's own.
+
+    The member's businesses are found first and prune the ledger; no bill is
+    repeated for anyone else.
+    """
+    owned = members.filter((F.col("role") == "owner") & (F.col("user_id") == viewer)).select("business_id", F.lit(True).alias("owned")).distinct()
+    joined = bills.join(owned, "business_id", "left")
+    return joined.filter(F.coalesce("owned", F.lit(False)) | (F.col("user_id") == viewer)).select(*bills.columns)
+
+
 def shared_bills(bills: DataFrame, links: DataFrame, token: str, as_of: Column) -> DataFrame:
     """Bills of the one business a live share link opens."""
     live = links.filter((F.col("token") == token) & (F.col("expires_at") > as_of)).select("business_id")

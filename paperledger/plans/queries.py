@@ -28,7 +28,7 @@ from paperledger.operators.extract import extract_bills
 from paperledger.operators.vendors import merge_known_vendors, newest_logged_vendors, resolve_vendors
 from paperledger.plans import views as VW
 from paperledger.plans.lineage import cut_lineage, shared_folder
-from paperledger.schemas import EXTRACTION
+from paperledger.schemas import EXTRACTION, empty_extraction
 from paperledger.sources import readers, writers
 from paperledger.streaming import jobs
 
@@ -685,6 +685,29 @@ def recommended_of_confidences(spark, d):
     return E.recommend(E.sweep(_graded(spark, d))).select("amount_high", "date_high", "vendor_high")
 
 
+@query(_GRADED + """,
+passing as (select * from combos where success_rate >= 0.7 and amount_accuracy >= 0.95 and date_accuracy >= 0.9 and vendor_accuracy >= 0.8),
+best as (select * from passing order by round(amount_high + date_high + vendor_high, 6) desc, success_rate desc, 1, 2, 3 limit 1)
+select (select count(*) from events) as scored, (select count(*) from combos) as points, (select count(*) from passing) as passing_count,
+  exists(select 1 from passing where amount_high = 0.9 and date_high = 0.85 and vendor_high = 0.75) as defaults_pass,
+  (select amount_high from best) as amount_high, (select date_high from best) as date_high, (select vendor_high from best) as vendor_high""")
+def sweep_report(spark, d):
+    scored = _graded(spark, d)
+    report = writers.sweep_report(E.sweep(scored), scored.agg(F.count("*").alias("scored")))
+    return report.select(
+        "corpus.scored", F.size("combos").cast("long").alias("points"), "passing_count", F.col("defaults.pass").alias("defaults_pass"),
+        "recommended.amount_high", "recommended.date_high", "recommended.vendor_high",
+    )
+
+
+@query(TEXT + """
+select count(*) as texts, count(*) as with_fragments, 0::bigint as guard_firings, 0::double as guard_fire_rate,
+  count(*) filter (read_vendor is not null) as high, count(*) filter (read_vendor is null) as partial, 0::bigint as low from bill_text""")
+def read_report(spark, d):
+    out = extract_bills(VW.bill_text(spark, d).select("bill_id", "text"), ocr_text=F.col("text"))
+    return writers.read_summary(E.read_entries(out, id_col="bill_id")).select("texts", "date_guard.*", "gating.*")
+
+
 @query(_SCORED + """
 select count(*) filter (has_vendor) as high, count(*) filter (not has_vendor) as partial, 0::bigint as low from judged""")
 def gate_histogram(spark, d):
@@ -918,6 +941,48 @@ def checked_edits(spark, d):
     return L.check_edits(edits).select("event_id", "amount_value", "vendor_value", "date_value")
 
 
+_EDITS = """
+with edits as (select user_id * 3 + event_id % 3 as id, event_id as nth, event_id % 7 as kind, round(value, 2) as amount,
+    event_type as vendor, strftime(ts, '%Y-%m-%d') as day from events),
+last as (select id, arg_max(amount, nth) filter (kind < 2) as amount, arg_max(vendor, nth) filter (kind in (2, 3)) as vendor,
+    arg_max(day, nth) filter (kind in (4, 5)) as day from edits where kind < 6 group by id),
+drafts as (select c_custkey as id, c_custkey % 4 <> 0 as registered, ['inclusive', 'exclusive', 'none'][c_custkey % 3 + 1] as basis,
+    case when c_custkey % 5 <> 0 then 80.5 end as amount, case when c_custkey % 5 = 0 then 0.0 when c_custkey % 2 = 0 then 0.95 else 0.75 end as sure,
+    case when c_custkey % 7 <> 0 then '2024-01-02' end as day, case when c_custkey % 11 <> 0 then 'Shop Fern' end as vendor from customer),
+merged as (select id, l.id is not null as corrected, coalesce(l.amount, d.amount) as amount, coalesce(l.vendor, d.vendor) as vendor, coalesce(l.day, d.day) as date,
+    case when l.amount is null then 1.5 when registered and basis = 'inclusive' then floor((l.amount / 11 + 2.220446049250313e-16) * 100 + 0.5) / 100
+      when registered and basis = 'exclusive' then floor((l.amount * 0.1::double + 2.220446049250313e-16) * 100 + 0.5) / 100 end as gst,
+    case when l.vendor is null then 'fern' end as resolved, case when l.amount is null then sure else 1 end as sure
+  from drafts d left join last l using (id))
+"""
+
+
+@query(_EDITS + """
+select id, amount, vendor, date, gst, resolved, case when not corrected then 'old' when amount is not null and sure >= 0.9 and date is not null and vendor is not null then 'high'
+  when amount is not null and sure >= 0.7 then 'partial' else 'low' end as gate from merged""")
+def corrected_drafts(spark, d):
+    key, at = F.col("c_custkey"), F.col("event_id")
+    read = lambda v, c=0.9: F.struct(v.alias("value"), F.lit(c).cast("double").alias("confidence") if not hasattr(c, "alias") else c.alias("confidence"))
+    sure = F.when(key % 5 == 0, 0.0).when(key % 2 == 0, 0.95).otherwise(0.75)
+    values = {
+        "amount": read(F.when(key % 5 != 0, 80.5), sure),
+        "date": read(F.when(key % 7 != 0, F.lit("2024-01-02"))),
+        "vendor": read(F.when(key % 11 != 0, F.lit("Shop Fern"))),
+        "vendor_resolved_to": read(F.lit("fern")),
+        "gst": read(F.lit(1.5)),
+        "gst_basis": F.element_at(F.array(*map(F.lit, ["inclusive", "exclusive", "none"])), (key % 3 + 1).cast("int")),
+    }
+    x = F.struct(*[values.get(c, empty_extraction()[c]).alias(c) for c in EXTRACTION.names])
+    drafts = VW.table(spark, d, "customer").select(key.alias("id"), x.alias("extraction"), (key % 4 != 0).alias("gst_registered"), F.lit("old").alias("gate"))
+    kind = at % 7
+    typed = F.when(kind < 2, F.format_string(" $%.2f", "value")).when(kind < 4, F.concat(F.lit(" "), "event_type")).when(kind < 6, F.date_format("ts", "dd/MM/yyyy")).otherwise("none of it")
+    field = F.when((kind < 2) | (kind == 6), "amount").when(kind < 4, "vendor").otherwise("date")
+    edits = VW.table(spark, d, "events").select((F.col("user_id") * 3 + at % 3).alias("id"), at.alias("edited_at"), field.alias("field"), typed.alias("text"))
+    e = F.col("extraction")
+    shown = {"amount": "amount", "vendor": "vendor", "date": "date", "gst": "gst", "resolved": "vendor_resolved_to"}
+    return L.apply_edits(drafts, edits).select("id", *[e[c]["value"].alias(n) for n, c in shown.items()], "gate")
+
+
 @query(TEXT + """
 select bill_id, 'machine' as header, false as verify_amount, read_vendor is null as vendor_missing, false as offer_date_edit, true as abn_unverified from bill_text""")
 def confirm_flags(spark, d):
@@ -1364,6 +1429,16 @@ def visible_bills(spark, d):
     return R.visible_bills(VW.ledger(spark, d), _members(spark, d)).select("viewer", "bill_id", "business_id")
 
 
+@query(LEDGER + "," + _MEMBERS_SQL + """,
+who as (select min(user_id) as id from members where role = 'owner' and business_id = 3)
+select bill_id, business_id from ledger l, who
+where user_id = who.id or business_id in (select business_id from members, who where role = 'owner' and user_id = who.id)""")
+def bills_of_viewer(spark, d):
+    members = _members(spark, d)
+    owner = members.filter("role = 'owner' and business_id = 3").agg(F.min("user_id").alias("id"))
+    return R.bills_of_viewer(VW.ledger(spark, d), members, owner.scalar()).select("bill_id", "business_id")
+
+
 @query(LEDGER + "select bill_id, business_id from ledger where business_id = 3")
 def shared_bills(spark, d):
     key = F.col("n_nationkey").cast("bigint")

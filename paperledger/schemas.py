@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The allowed values of every enumerated column.
@@ -62,6 +64,12 @@ EXTRACTION = T.StructType(
 )
 
 
+def empty_extraction() -> Column:
+    """An extraction in which nothing was read."""
+    nothing = lambda f: F.struct(F.lit(None).cast(f.dataType["value"].dataType).alias("value"), F.lit(0.0).alias("confidence"))
+    return F.struct(*[(F.lit("none") if isinstance(f.dataType, T.StringType) else nothing(f)).alias(f.name) for f in EXTRACTION])
+
+
 def _table(*columns: str | tuple[str, T.DataType]) -> T.StructType:
     """Columns are text unless typed; a trailing ``!`` marks a required one."""
     out = []

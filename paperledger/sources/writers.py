@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperledger.config import DEFAULTS, Settings
 from paperledger.functions.values import day_key, two_decimals
+from paperledger.operators.evaluate import TARGETS, recommend
 
 # Header of the accountant extract.
 EXTRACT_HEADER = [
@@ -88,3 +90,38 @@ def run_report(metrics: DataFrame, criteria: DataFrame, histogram: DataFrame) ->
     listed = criteria.agg(F.sort_array(F.collect_list(F.struct("criterion", "value", "target", "pass"))).alias("criteria"))
     packed = metrics.select(F.struct(*metrics.columns).alias("metrics"))
     return packed.crossJoin(listed).crossJoin(histogram.select(F.struct(*histogram.columns).alias("gating")))
+
+
+def sweep_report(combos: DataFrame, corpus: DataFrame, defaults: Settings = DEFAULTS, targets: dict[str, float] | None = None) -> DataFrame:
+    """One nested row per sweep: corpus, targets, the defaults and whether they pass, all combinations, the recommended one.
+
+    ``combos`` is the result of ``sweep``, which has a row for each point of the
+    grid whatever it was counted from; ``corpus`` one row of counts.
+    """
+    axes = ["amount_high", "date_high", "vendor_high"]
+    point = F.struct(*axes)
+    standard = F.struct(*[F.lit(getattr(defaults, a)).alias(a) for a in axes])
+    best = recommend(combos).select(F.struct(*axes).alias("recommended"))
+    whole = combos.agg(
+        F.struct(standard.alias("thresholds"), F.coalesce(F.bool_or((point == standard) & F.col("pass")), F.lit(False)).alias("pass")).alias("defaults"),
+        F.sort_array(F.collect_list(F.struct(*axes, *[c for c in combos.columns if c not in axes]))).alias("combos"),
+        F.count_if("pass").alias("passing_count"),
+    )
+    goals = F.struct(*[F.lit(v).alias(k) for k, v in {**TARGETS, **(targets or {})}.items()])
+    left = corpus.select(F.struct(*corpus.columns).alias("corpus"), goals.alias("targets")).crossJoin(whole)
+    # Nothing passes: the row stays, without a recommendation.
+    return left.join(best, F.lit(True), "left")
+
+
+def read_summary(entries: DataFrame) -> DataFrame:
+    """One row over ``read_entries``: texts, how often the date guard had to act, grades."""
+    n, fragments = F.count("*"), F.count_if(F.size("date_fragments") > 0)
+    guard = F.struct(fragments.alias("with_fragments"), F.count_if("guard_fired").alias("guard_firings"), F.try_divide(F.count_if("guard_fired").cast("double"), n).alias("guard_fire_rate"))
+    grades = F.struct(*[F.count_if(F.col("gate") == g).alias(g) for g in ("high", "partial", "low")])
+    return entries.agg(n.alias("texts"), guard.alias("date_guard"), grades.alias("gating"))
+
+
+def write_read_report(entries: DataFrame, folder: str) -> None:
+    """The summary below ``summary``, and a JSON document for each text below ``entries``, from as many tasks as there are parts."""
+    write_report(entries, f"{folder}/entries")
+    write_report(read_summary(entries), f"{folder}/summary")
