@@ -6,10 +6,15 @@ the ASCII word class throughout.
 
 from __future__ import annotations
 
+import operator
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from paperledger.functions.values import (
+    BLANKS,
     number_text,
     parse_amount,
     plain_blanks,
@@ -71,11 +76,25 @@ MAX_VENDOR = 60
 # --- whole text -------------------------------------------------------------
 
 
+def lines_of(text: Column) -> Column:
+    """The text cut at line breaks; a split by one plain character needs no pattern."""
+    return F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n")
+
+
+def mentions(low: Column, words: list[str]) -> Column:
+    """Whether a lower-cased text holds any of the words, also inside others.
+
+    A plain search costs a small part of a pattern, so it goes before patterns
+    that need one of the words to match.
+    """
+    return reduce(operator.or_, [F.contains(low, F.lit(w)) for w in words])
+
+
 def rejoin_wraps(text: Column) -> Column:
     """Join a lower-case word that a line break split at a hyphen."""
     # Fixed value: what counts as a split word.
     wrapped = r"(?<![A-Za-z'-])([A-Za-z]*[a-z])-[ \t]*\r?\n([a-z]{2,})"
-    return F.regexp_replace(text, wrapped, "$1$2")
+    return F.when(F.contains(text, F.lit("-")), F.regexp_replace(text, wrapped, "$1$2")).otherwise(text)
 
 
 def is_garbage(text: Column) -> Column:
@@ -94,7 +113,8 @@ _LOOSE_DAY = r"\d{1,2}\s*[/\-.]\s*\d{1,2}\s*[/\-.]\s*\d{2,4}"
 
 
 def _words(*shapes: str) -> str:
-    return f"{START}(?:{'|'.join(s + END for s in shapes)})"
+    # Every shape starts with a digit: the look ahead spares the look back elsewhere.
+    return rf"(?=\d){START}(?:{'|'.join(s + END for s in shapes)})"
 
 
 PLAIN_DATE = _words(
@@ -122,7 +142,7 @@ def find_date(text: Column) -> Column:
     plain = F.nullif(F.regexp_extract(text, PLAIN_DATE, 0), F.lit(""))
     labelled = F.filter(
         F.transform(
-            F.filter(F.split(text, LINE_BREAK), lambda l: l.rlike(DATE_LABEL)),
+            F.filter(lines_of(text), lambda l: l.rlike(DATE_LABEL)),
             lambda l: F.regexp_extract(l, LABELLED_DATE, 0),
         ),
         lambda d: d != "",
@@ -139,24 +159,33 @@ def date_fragments(text: Column) -> Column:
 
 
 def find_abn(text: Column) -> Column:
-    shape = rf"{START}\d{{2}}\s?\d{{3}}\s?\d{{3}}\s?\d{{3}}{END}"
+    shape = rf"(?=\d){START}\d{{2}}\s?\d{{3}}\s?\d{{3}}\s?\d{{3}}{END}"
     return F.nullif(F.regexp_extract(text, shape, 0), F.lit(""))
 
 
-def gst_basis(text: Column) -> Column:
+def gst_basis(text: Column, low: Column | None = None) -> Column:
+    """``low`` is the text in lower case, if at hand."""
+    low = F.lower(text) if low is None else low
     # Wordings of a price with and without tax.
     inclusive = rf"(?i)gst\s*inclusive|{START}inc\s*gst|{START}gst\s*inc{END}"
     return (
-        F.when(text.rlike(inclusive), "inclusive")
-        .when(text.rlike(rf"(?i){START}(?:gst|tax){END}"), "exclusive")
+        F.when(F.contains(low, F.lit("gst")) & F.contains(low, F.lit("inc")) & text.rlike(inclusive), "inclusive")
+        .when(mentions(low, ["gst", "tax"]) & text.rlike(rf"(?i){START}(?:gst|tax){END}"), "exclusive")
         .otherwise("none")
     )
 
 
-def category_of(text: Column) -> Column:
+def _needed(pattern: str) -> list[str]:
+    """What a text must hold one of for a category pattern: its words without their optional letters."""
+    return [re.sub(r"\w\?", "", word) for word in pattern.replace(START, "").replace(END, "").split("|")]
+
+
+def category_of(text: Column, low: Column | None = None) -> Column:
+    """``low`` is the text in lower case, if at hand."""
+    low = F.lower(text) if low is None else low
     found = F.lit(None).cast("string")
     for category, pattern in reversed(CATEGORY_PATTERNS):
-        found = F.when(text.rlike(f"(?i){pattern}"), category).otherwise(found)
+        found = F.when(mentions(low, _needed(pattern)) & text.rlike(f"(?i){pattern}"), category).otherwise(found)
     return found
 
 
@@ -200,7 +229,8 @@ def _total_pattern() -> str:
     for label in TOTAL_LABELS:
         parts = ["".join(f"[{LOOKALIKES.get(c, c)}]" for c in part) for part in label.split()]
         words.append(r"\s+".join(parts))
-    return rf"(?i)(?<![a-z0-9])(?:{'|'.join(words)})(?![a-z0-9])"
+    first = "".join(sorted({c for label in TOTAL_LABELS for c in LOOKALIKES.get(label[0], label[0])}))
+    return rf"(?i)(?=[{first}])(?<![a-z0-9])(?:{'|'.join(words)})(?![a-z0-9])"
 
 
 TOTAL_LINE = _total_pattern()
@@ -208,26 +238,25 @@ TOTAL_LINE = _total_pattern()
 
 def prefixed_on(line: Column) -> Column:
     """Currency amounts on one line; any case, unlike the whole-text pass."""
-    return F.regexp_extract_all(line, F.lit(f"(?i){PREFIXED_AMOUNT}"), F.lit(0))
+    return F.regexp_extract_all(line, F.lit(f"(?i)(?=[$₹ari])(?:{PREFIXED_AMOUNT})"), F.lit(0))
 
 
 def content_lines(text: Column) -> Column:
-    return F.filter(F.split(text, LINE_BREAK), lambda l: strip(l) != "")
-
+    return F.filter(lines_of(text), lambda l: strip(l) != "")
 
-def line_candidates(lines: Column) -> Column:
-    """Currency amounts of each content line; credit lines offer none."""
-    return F.transform(lines, lambda l: F.when(~l.rlike("(?i)credit"), prefixed_on(l)))
 
+def total_amount(lines: Column, low: Column) -> Column:
+    """Largest amount on a total-like line, or on the line below an empty one; credit lines offer none.
 
-def total_amount(lines: Column, candidates: Column) -> Column:
-    """Largest amount on a total-like line, or on the line below an empty one."""
+    ``low`` is the text in lower case. Only lines that can offer are searched for amounts.
+    """
+    credit = lambda line: F.contains(low, F.lit("credit")) & line.rlike("(?i)credit")
 
     def offered(line: Column, i: Column) -> Column:
-        own = F.get(candidates, i)
-        below = F.get(candidates, i + 1)
-        labelled = line.rlike(TOTAL_LINE) & own.isNotNull()
-        return F.when(labelled, F.when(F.size(own) > 0, own).otherwise(below))
+        below = F.get(lines, i + 1)
+        next_one = F.when(~credit(below), prefixed_on(below))
+        own = F.transform(F.array(prefixed_on(line)), lambda c: F.when(F.size(c) > 0, c).otherwise(next_one))
+        return F.when(line.rlike(TOTAL_LINE) & ~credit(line), F.get(own, F.lit(0)))
 
     taken = F.flatten(F.filter(F.transform(lines, offered), lambda c: c.isNotNull()))
     return F.array_max(F.transform(taken, parse_amount))
@@ -300,6 +329,11 @@ def words_value(words: Column) -> Column:
     return F.when(F.size(tokens) > 0, total)
 
 
+def spells(low: Column) -> Column:
+    """Whether a lower-cased text can hold a currency word."""
+    return mentions(low, ["rupee", "dollar", "inr"])
+
+
 def words_whole(line: Column) -> Column:
     """Whole currency units written in words on a line, or null."""
     return F.when(
@@ -307,7 +341,7 @@ def words_whole(line: Column) -> Column:
     )
 
 
-def words_amount(text: Column) -> Column:
+def words_amount(text: Column, low: Column) -> Column:
     """Largest amount written in words on any line, with its paisa or cents."""
 
     def amount(line: Column) -> Column:
@@ -315,8 +349,8 @@ def words_amount(text: Column) -> Column:
         part = F.when(cents < 100, cents / 100).otherwise(0.0)
         return words_whole(line) + part
 
-    lines = F.filter(F.split(text, LINE_BREAK), lambda l: l.rlike(f"(?i){CURRENCY_WORD}"))
-    return F.when(text.rlike(f"(?i){CURRENCY_WORD}"), F.array_max(F.transform(lines, amount)))
+    lines = F.filter(lines_of(text), lambda l: l.rlike(f"(?i){CURRENCY_WORD}"))
+    return F.when(spells(low) & text.rlike(f"(?i){CURRENCY_WORD}"), F.array_max(F.transform(lines, amount)))
 
 
 # --- vendor -----------------------------------------------------------------
@@ -344,17 +378,17 @@ def letter_ratio_ok(line: Column) -> Column:
     """At least seven tenths of the visible characters are letters."""
     visible = F.regexp_replace(line, r"\s+", "")
     letters = F.length(F.regexp_replace(line, r"[^A-Za-z]+", ""))
-    return F.when(letters > 0, letters / unit_length(visible) >= 0.7).otherwise(False)
+    return F.coalesce(F.try_divide(letters.cast("double"), unit_length(visible)) >= 0.7, F.lit(False))
 
 
-def clean_vendor_line(line: Column, words: Column) -> Column:
-    """A line that looks like a shop name; ``words`` are its joined clean words."""
+def clean_vendor_line(line: Column, words: Column, low: Column) -> Column:
+    """A line that looks like a shop name; ``words`` are its joined clean words, ``low`` the text in lower case."""
     return (
         (words != "")
         & (F.length(words) <= MAX_VENDOR)
         & words.rlike(r"\S{3}")
         & letter_ratio_ok(line)
-        & words_whole(line).isNull()
+        & (~spells(low) | words_whole(line).isNull())
     )
 
 
@@ -369,21 +403,44 @@ def replace_first(text: Column, pattern: Column | str) -> Column:
     return F.when(F.regexp_like(text, p), F.regexp_replace(text, upto, F.lit("$1 "))).otherwise(text)
 
 
-def without_word_amounts(text: Column) -> Column:
+def without_word_amounts(text: Column, low: Column) -> Column:
     """Empty the lines that only spell out an amount."""
     blanked = F.transform(
-        F.split(text, LINE_BREAK), lambda l: F.when(words_whole(l).isNotNull(), "").otherwise(l)
+        lines_of(text), lambda l: F.when(words_whole(l).isNotNull(), "").otherwise(l)
     )
-    return F.when(text.rlike(f"(?i){CURRENCY_WORD}"), F.array_join(blanked, "\n")).otherwise(text)
+    return F.when(spells(low) & text.rlike(f"(?i){CURRENCY_WORD}"), F.array_join(blanked, "\n")).otherwise(text)
+
+
+def before_amount(text: Column, money: Column) -> Column:
+    """What stands before the first copy of an amount with two decimals (``money``); null without a copy."""
+    at = F.position(money, text)
+    return F.when(at > 0, F.left(text, at - 1))
+
+
+def without_amount(text: Column, before: Column, money: Column) -> Column:
+    """Blank out the first copy of an amount with two decimals, with its sign.
+
+    The same as ``replace_first`` by ``\\$?\\s?`` and the amount: the amount has
+    one point, so copies don't overlap and the first copy is the first match.
+    """
+    n = F.length(before)
+    blank = F.substring(before, -1, 1).isin(*BLANKS)
+    signed = F.when(blank, F.substring(before, -2, 1) == "$").otherwise(F.endswith(before, F.lit("$")))
+    cut = n - blank.cast("int") - F.when(blank & (n < 2), 0).otherwise(signed.cast("int"))
+    after = F.substring(text, n + F.length(money) + 1, F.length(text))
+    return F.when(before.isNotNull(), F.concat(F.left(before, cut), F.lit(" "), after)).otherwise(text)
 
 
-def amount_patterns(amount: Column) -> list[Column]:
-    """The amount with two decimals, then as a plain number, each with its sign."""
-    exact = F.concat(F.lit(r"(?i)\$?\s?"), F.replace(two_decimals(amount), F.lit("."), F.lit(r"\.")))
-    return [exact, F.concat(F.lit(r"(?i)\$?\s?"), number_text(amount))]
+def without_number(text: Column, plain: Column) -> Column:
+    """Blank out the first copy of an amount as a plain number (``plain``), with its sign."""
+    # The digits before the point are looked for first: a pattern that differs per row is compiled per row.
+    whole = F.substring_index(plain, ".", 1)
+    may = F.contains(text, whole) | whole.rlike("[A-Za-z]")
+    return F.when(may, replace_first(text, F.concat(F.lit(r"(?i)\$?\s?"), plain))).otherwise(text)
 
 
-CURRENCY_PATTERNS = [r"(?i)AUD\s*", rf"(?i){START}(?:Rs|INR)\.?\s*"]
+# Currency marks, each behind the words that a text needs for it.
+CURRENCY_PATTERNS = [(["aud"], r"(?i)AUD\s*"), (["rs", "inr"], rf"(?i){START}(?:Rs|INR)\.?\s*")]
 
 
 def without_category(text: Column, category: Column) -> Column:
@@ -397,7 +454,7 @@ def without_category(text: Column, category: Column) -> Column:
     return out
 
 
-def vendor_block(lines: Column, remainder_lines: Column) -> Column:
+def vendor_block(lines: Column, remainder_lines: Column, low: Column) -> Column:
     """First run of clean lines, at most sixty characters, or ``''``."""
     state = F.struct(F.lit("").alias("block"), F.lit(False).alias("done"))
     indexed = F.transform(lines, lambda l, i: F.struct(l.alias("line"), i.alias("i")))
@@ -406,17 +463,19 @@ def vendor_block(lines: Column, remainder_lines: Column) -> Column:
         block = acc["block"]
         rest = F.coalesce(F.get(remainder_lines, item["i"]), F.lit(""))
 
-        def extend(words: Column) -> Column:
+        def extend(found: Column) -> Column:
+            words, good = found["words"], found["good"]
             fits = (block == "") | (F.length(block) + F.length(words) + 1 <= MAX_VENDOR)
             joined = F.when(block == "", words).otherwise(F.concat(block, F.lit(" "), words))
-            good = clean_vendor_line(item["line"], words)
             return (
                 F.when(good & fits, F.struct(joined.alias("block"), F.lit(False).alias("done")))
                 .when(~good & (block == ""), acc)
                 .otherwise(F.struct(block.alias("block"), F.lit(True).alias("done")))
             )
 
-        words = F.array_join(clean_words(rest), " ")
-        return F.when(acc["done"], acc).otherwise(F.get(F.transform(F.array(words), extend), F.lit(0)))
+        # One-element arrays bind the words, and what they are worth, once.
+        words = F.array(F.array_join(clean_words(rest), " "))
+        judged = F.transform(words, lambda w: F.struct(w.alias("words"), clean_vendor_line(item["line"], w, low).alias("good")))
+        return F.when(acc["done"], acc).otherwise(F.get(F.transform(judged, extend), F.lit(0)))
 
     return F.aggregate(indexed, state, step, lambda s: s["block"])

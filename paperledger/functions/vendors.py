@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from paperledger.functions.values import FOLD_FROM, FOLD_TO, fold_case, fold_shapes, sql_text
+from paperledger.functions.values import FOLD_FROM, FOLD_TO, fold_case, sql_text
 
 # Vendor names known before anything is learned.
 SEED_VENDORS = [
@@ -41,14 +41,19 @@ def word_distance(left: Column, right: Column) -> Column:
 def match_literal(name: Column, known: list[str]) -> Column:
     """The one nearest known name, or null when none or several are nearest."""
     known = list(dict.fromkeys(known))  # a repeated name doesn't tie with itself
-    entries = [
-        f"struct({sql_text(k)} as name, {sql_text(_fold(k))} as folded, "
-        f"array({', '.join(sql_text(w) for w in _shapes(k).split(' '))}) as words)"
-        for k in known
-    ]
-    table = F.expr(f"array({', '.join(entries)})")
+    # By number of words: a name meets only those of as many words as it has.
+    tables = {}
+    for k in known:
+        words = _shapes(k).split(" ")
+        entry = f"struct({sql_text(k)} as name, {sql_text(_fold(k))} as folded, array({', '.join(map(sql_text, words))}) as words)"
+        tables.setdefault(len(words), []).append(entry)
+    if not tables:
+        return F.lit(None).cast("string")
 
     def near(asked: Column) -> Column:
+        table, n = F.lit(None), F.size(asked["words"])
+        for size, entries in tables.items():
+            table = F.when(n == size, F.expr(f"array({', '.join(entries)})")).otherwise(table)
         scored = F.transform(
             F.filter(table, lambda k: k["folded"] != asked["plain"]),
             lambda k: F.struct(word_distance(asked["words"], k["words"]).alias("d"), k["name"].alias("name")),
@@ -61,11 +66,10 @@ def match_literal(name: Column, known: list[str]) -> Column:
         return F.when(~F.coalesce(first["d"] == second["d"], F.lit(False)), first["name"])
 
     # One-element arrays bind each intermediate value once.
-    words = F.split(fold_shapes(name), " ")
-    asked = F.array(F.struct(fold_case(name).alias("plain"), words.alias("words")))
+    plain = F.filter(F.array(fold_case(name)), lambda p: p != "")
+    asked = F.transform(plain, lambda p: F.struct(p.alias("plain"), F.split(F.translate(p, FOLD_FROM, FOLD_TO), " ").alias("words")))
     ordered = F.transform(F.transform(asked, near), lambda m: F.array_sort(m))
-    found = F.get(F.transform(ordered, single), F.lit(0))
-    return F.when(fold_case(name) != "", found)
+    return F.get(F.transform(ordered, single), F.lit(0))
 
 
 def _fold(name: str) -> str:

@@ -37,42 +37,47 @@ def _drop_scratch(df: DataFrame) -> DataFrame:
 def read_fields(df: DataFrame, text: Column) -> DataFrame:
     """Add scratch columns with every raw field but the canonical vendor."""
     t = _add(df, text=V.plain_blanks(X.rejoin_wraps(F.coalesce(text, F.lit("")))))
+    t = _add(t, low=F.lower(_c("text")))
     t = _add(
         t,
         date=X.find_date(_c("text")),
         nodate=X.strip_dates(_c("text")),
         abn=X.find_abn(_c("text")),
-        basis=X.gst_basis(_c("text")),
-        category=X.category_of(_c("text")),
+        basis=X.gst_basis(_c("text"), _c("low")),
+        category=X.category_of(_c("text"), _c("low")),
     )
     # Taking out one date can join up another; a second pass is rarely needed.
     again = F.when(_c("nodate") == _c("text"), _c("nodate")).otherwise(X.strip_dates(_c("nodate")))
     t = _add(t, safe=again)
     t = _add(t, content=F.when(_c("safe").rlike(X.TOTAL_LINE), X.content_lines(_c("safe"))))
-    t = _add(t, offers=X.line_candidates(_c("content")))
-    t = _add(t, total=X.total_amount(_c("content"), _c("offers")))
+    t = _add(t, total=X.total_amount(_c("content"), _c("low")))
     t = _add(t, amounts=F.when(_c("total").isNull(), X.all_amounts(_c("safe"))))
     amount = F.coalesce(
         _c("total"),
         X.first_prefixed(_c("amounts")),
-        X.words_amount(_c("safe")),
+        X.words_amount(_c("safe"), _c("low")),
         X.first_readable(_c("amounts")),
     )
     t = _add(t, amount=amount)
     # Drop the first copy of the amount in either form, then of each currency word.
-    t = _add(t, rem0=X.without_word_amounts(_c("nodate")))
-    patterns = [*X.amount_patterns(_c("amount")), *X.CURRENCY_PATTERNS]
-    for i, pattern in enumerate(patterns):
+    t = _add(t, rem0=X.without_word_amounts(_c("nodate"), _c("low")))
+    t = _add(t, money=V.two_decimals(_c("amount")), plain=V.number_text(_c("amount")))
+    cut = lambda done, left: F.when(_c("amount").isNotNull(), done).otherwise(left)
+    t = _add(t, before=cut(X.before_amount(_c("rem0"), _c("money")), F.lit(None)))
+    t = _add(t, rem1=X.without_amount(_c("rem0"), _c("before"), _c("money")))
+    t = _add(t, rem2=cut(X.without_number(_c("rem1"), _c("plain")), _c("rem1")))
+    for i, (words, pattern) in enumerate(X.CURRENCY_PATTERNS, 2):
         left = _c(f"rem{i}")
-        cut = F.when(_c("amount").isNotNull(), X.replace_first(left, pattern)).otherwise(left)
-        t = _add(t, **{f"rem{i + 1}": cut})
-    t = _add(t, remainder=_c(f"rem{len(patterns)}"))
+        # Blanks take the place of what is cut, so no word comes up that the text doesn't hold.
+        out = F.when(X.mentions(_c("low"), words), X.replace_first(left, pattern)).otherwise(left)
+        t = _add(t, **{f"rem{i + 1}": cut(out, left)})
+    t = _add(t, remainder=_c(f"rem{2 + len(X.CURRENCY_PATTERNS)}"))
     t = _add(t, stripped=X.without_category(_c("remainder"), _c("category")))
     rest = F.when(X.has_clean_word(_c("stripped")), _c("stripped")).otherwise(_c("remainder"))
     t = _add(t, rest=rest)
     # A column of its own: an expression inside the walk would split the text per line.
-    t = _add(t, rest_lines=F.split(_c("rest"), X.LINE_BREAK))
-    t = _add(t, block=X.vendor_block(F.split(_c("nodate"), X.LINE_BREAK), _c("rest_lines")))
+    t = _add(t, rest_lines=X.lines_of(_c("rest")))
+    t = _add(t, block=X.vendor_block(X.lines_of(_c("nodate")), _c("rest_lines"), _c("low")))
     picked = F.when(_c("block") != "", _c("block")).otherwise(
         F.nullif(F.array_join(X.clean_words(_c("rest")), " "), F.lit(""))
     )

@@ -1,10 +1,15 @@
 """Queries on tables whose keys or sizes go beyond those of the given ones."""
 
+import random
+import re
 from datetime import datetime, timedelta
 
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from paperledger.functions import text as X
+from paperledger.functions import values as V
 from tools.check import rows_of, same
 
 T0 = datetime(2024, 1, 1)
@@ -30,3 +35,20 @@ def test_reloaded_seed_with_ids_beyond_a_million(spark, tmp_path):
     names = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
     spark.createDataFrame(rows, names).write.parquet(str(tmp_path / "events.parquet"))
     twin_agrees(spark, tmp_path, "reloaded_seed", ["events"])
+
+
+def test_first_copy_of_an_amount_goes_without_a_pattern_per_row(spark):
+    """The plain search takes out what the pattern of the amount would; patterns that differ per row are compiled per row."""
+    rng = random.Random(3)
+    bits = ["45.20", "$", " ", "\n", "$45.20", "$ 45.20", "x", "4", "145.20", "45.2", "$$", "\t"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 7))) for _ in range(400)]
+    df = spark.createDataFrame([(x,) for x in texts], "text string").select("text", F.lit("45.20").alias("money"))
+    got = df.select("text", X.without_amount(F.col("text"), X.before_amount(F.col("text"), F.col("money")), F.col("money")).alias("left"))
+    want = [re.sub(r"\$?[ \t\n]?45\.20", " ", x, count=1) for x in texts]
+    assert [r["left"] for r in got.collect()] == want
+
+
+def test_rules_are_not_computed_twice_inside_arrays(spark):
+    """``parse_amount`` holds its patterns once: each more copy is run again for every amount of a text."""
+    plan = spark.range(1).select(V.parse_amount(F.col("id").cast("string")).alias("n"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract(") == 1
