@@ -8,41 +8,46 @@ from pyspark.sql import functions as F
 from paperledger.schemas import DRAFT_COLUMNS, LABEL, TABLES
 
 
-def parse_message(raw: Column) -> Column:
-    """Raw payload to a normalised message struct, or null for anything else.
+#: Texts of a message and where they are in it.
+_PARTS = {"from": "from", "id": "id", "timestamp": "timestamp", "type": "type", "body": "text.body", "image": "image.id"}
+
+
+def _read_parts(raw: DataFrame, column: str) -> DataFrame:
+    """Add the texts of each payload's message. A payload is parsed once and each text is looked up once, in projections of their own.
 
     Only the first message of the first change of the first entry counts. Values
     of the wrong JSON type are refused, hence VARIANT and its type checks.
     """
-    at = "$.entry[0].changes[0].value.messages[0]"
-    payload = F.try_parse_json(raw)
-
-    def text(path: str) -> Column:
-        value = F.try_variant_get(payload, f"{at}.{path}", "variant")
-        return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
-
-    seconds = text("timestamp")
-    epoch = F.coalesce(F.nullif(F.trim(seconds), F.lit("")), F.lit("0")).try_cast("double")
-    kind = text("type")
-    body, image = text("text.body"), text("image.id")
+    first = F.try_variant_get(F.try_parse_json(F.col(column)), "$.entry[0].changes[0].value.messages[0]", "variant")
+    kept = [f"`{c}`" for c in raw.columns if c != column]
+    found = raw.select(*kept, first.alias("__message"))
+    found = found.select(*kept, *[F.try_variant_get("__message", f"$.{path}", "variant").alias(f"__{n}") for n, path in _PARTS.items()])
+    text = lambda n: F.when(F.schema_of_variant(f"__{n}") == "STRING", F.try_variant_get(f"__{n}", "$", "string"))
+    return found.select(*kept, *[text(n).alias(f"__{n}") for n in _PARTS])
+
+
+def _message() -> Column:
+    """The parts as a normalised message struct, or null for anything else."""
+    part = {n: F.col(f"__{n}") for n in _PARTS}
+    epoch = F.coalesce(F.nullif(F.trim(part["timestamp"]), F.lit("")), F.lit("0")).try_cast("double")
+    kind, body, image = part["type"], part["body"], part["image"]
     usable = F.when(kind == "text", body.isNotNull()).when(kind == "image", image.isNotNull())
     message = F.struct(
-        text("from").alias("user_phone"),
-        text("id").alias("wa_message_id"),
+        part["from"].alias("user_phone"),
+        part["id"].alias("wa_message_id"),
         F.timestamp_micros((epoch * 1000000).cast("bigint")).alias("wa_received_at"),
         F.when(kind == "image", "photo").otherwise("text").alias("kind"),
         F.when(kind == "image", F.array(image)).alias("image_urls"),
         F.when(kind == "text", body).alias("text"),
         F.lit(None).cast("string").alias("ocr_text"),
     )
-    named = (text("from") != "") & (text("id") != "")
-    return F.when(named & usable, message)
+    return F.when((part["from"] != "") & (part["id"] != "") & usable, message)
 
 
 def inbound_messages(raw: DataFrame, column: str = "value") -> DataFrame:
     """Usable messages of a table or stream of raw payloads."""
-    kept = raw.select(*[c for c in raw.columns if c != column], F.inline(F.array_compact(F.array(parse_message(F.col(column))))))
-    return kept
+    kept = [f"`{c}`" for c in raw.columns if c != column]
+    return _read_parts(raw, column).select(*kept, F.inline(F.array_compact(F.array(_message()))))
 
 
 def read_message_stream(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from paperledger.functions import text as X
 from paperledger.functions import values as V
+from paperledger.sources import readers
 from tools.check import rows_of, same
 
 T0 = datetime(2024, 1, 1)
@@ -52,3 +53,10 @@ def test_rules_are_not_computed_twice_inside_arrays(spark):
     """``parse_amount`` holds its patterns once: each more copy is run again for every amount of a text."""
     plan = spark.range(1).select(V.parse_amount(F.col("id").cast("string")).alias("n"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("regexp_extract(") == 1
+
+
+def test_a_payload_is_parsed_once(spark):
+    """Each copy of the parser in the plan parses every message again."""
+    raw = spark.createDataFrame([("{}",)], "value string")
+    plan = readers.inbound_messages(raw)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json") + plan.count("parseJson") == 1
