@@ -60,3 +60,9 @@ def test_a_payload_is_parsed_once(spark):
     raw = spark.createDataFrame([("{}",)], "value string")
     plan = readers.inbound_messages(raw)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parse_json") + plan.count("parseJson") == 1
+
+
+def test_a_date_text_is_made_once(spark):
+    """Each more copy of the expression that a date is read from is computed again for every row."""
+    made = spark.range(1).select(V.normalise_date(F.date_format(F.current_date(), "d / M / yy")).alias("d"))
+    assert made._jdf.queryExecution().analyzed().toString().count("date_format(") == 1
