@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from paperledger.functions import text as X
 from paperledger.functions import values as V
+from paperledger.operators import lookup as LO
 from paperledger.sources import readers
 from tools.check import rows_of, same
 
@@ -66,3 +67,11 @@ def test_a_date_text_is_made_once(spark):
     """Each more copy of the expression that a date is read from is computed again for every row."""
     made = spark.range(1).select(V.normalise_date(F.date_format(F.current_date(), "d / M / yy")).alias("d"))
     assert made._jdf.queryExecution().analyzed().toString().count("date_format(") == 1
+
+
+def test_the_search_index_has_no_row_per_form(spark):
+    """Forms are made of different words only; the index is neither that much larger nor aggregated as a whole."""
+    bills = spark.createDataFrame([(1, 7, "harbour mills", "rent", "logged", T0)], "bill_id int, user_id int, vendor string, category string, status string, confirmed_at timestamp")
+    index = LO.index_bills(bills)
+    assert sorted(r["word"] for r in index.collect()) == ["2024-01", "harbour", "jan", "january", "mills", "rent"]
+    assert "Aggregate" not in index._jdf.queryExecution().optimizedPlan().toString()
