@@ -107,7 +107,8 @@ def expand_recurring(rules: DataFrame, until: Column) -> DataFrame:
     days = F.lit(None).cast("array<date>")
     for name, step in PERIODS.items():
         days = F.when(period == name, F.sequence(first, last, F.expr(f"interval {step}"))).otherwise(days)
-    started = rules.filter(first <= last)
+    # A few files of rules are many payments, so they are dealt out before they are expanded.
+    started = rules.filter(first <= last).select("rule_id", "user_id", "vendor", "amount", "first_day", "period").repartition("rule_id")
     shape = F.when(F.col("period").isin("weekly", "fortnightly"), F.date_format("pay_day", "yyyy-MM-dd")).otherwise(F.date_format("pay_day", "yyyy-MM"))
     return started.select("rule_id", "user_id", "vendor", "amount", period.alias("period"), F.explode(days).alias("pay_day")).select(
         F.concat_ws("/", F.lit("rule"), F.col("rule_id").cast("string"), shape).alias("payment_id"),
@@ -120,8 +121,12 @@ def expand_recurring(rules: DataFrame, until: Column) -> DataFrame:
 
 
 def due_payments(payments: DataFrame, posted: DataFrame) -> DataFrame:
-    """Payments that were not posted before; ``posted`` has their ``payment_id``."""
-    return payments.join(posted.select("payment_id"), "payment_id", "left_anti")
+    """Payments that were not posted before; ``posted`` has their ``payment_id``.
+
+    What was posted grows with the payments, while its source may be a small
+    table: the planner would take its size from that and broadcast it.
+    """
+    return payments.join(posted.select("payment_id").hint("merge"), "payment_id", "left_anti")
 
 
 def cash_flow(bills: DataFrame, first: Column, last: Column) -> DataFrame:

@@ -11,6 +11,7 @@ import __spark_entry__ as entry
 from paperledger.functions import text as X
 from paperledger.functions import values as V
 from paperledger.operators import lookup as LO
+from paperledger.operators import reports as R
 from paperledger.sources import readers
 from tools.check import rows_of, same
 
@@ -75,3 +76,11 @@ def test_the_search_index_has_no_row_per_form(spark):
     index = LO.index_bills(bills)
     assert sorted(r["word"] for r in index.collect()) == ["2024-01", "harbour", "jan", "january", "mills", "rent"]
     assert "Aggregate" not in index._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_posted_payments_are_never_broadcast(spark):
+    """A small table of rules is many payments; the planner takes their size from the table."""
+    rules = spark.createDataFrame([(1, 2, "Old Mill", 5.0, T0.date(), "weekly")], "rule_id int, user_id int, vendor string, amount double, first_day date, period string")
+    due = R.due_payments(R.expand_recurring(rules, F.lit("2024-02-01")), R.expand_recurring(rules, F.lit("2024-01-10")))
+    assert "Broadcast" not in due._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["payment_id"] for r in due.collect()) == ["rule/1/2024-01-15", "rule/1/2024-01-22", "rule/1/2024-01-29"]
