@@ -12,6 +12,9 @@ from paperledger.functions import text as X
 from paperledger.functions import values as V
 from paperledger.operators import lookup as LO
 from paperledger.operators import reports as R
+from paperledger.operators import totals as TO
+from paperledger.plans import queries as Q
+from paperledger.plans import views as VW
 from paperledger.sources import readers
 from tools.check import rows_of, same
 
@@ -84,3 +87,13 @@ def test_posted_payments_are_never_broadcast(spark):
     due = R.due_payments(R.expand_recurring(rules, F.lit("2024-02-01")), R.expand_recurring(rules, F.lit("2024-01-10")))
     assert "Broadcast" not in due._jdf.queryExecution().executedPlan().toString()
     assert sorted(r["payment_id"] for r in due.collect()) == ["rule/1/2024-01-15", "rule/1/2024-01-22", "rule/1/2024-01-29"]
+
+
+def test_the_running_sums_join_the_ledger_once(spark, sf_dir, monkeypatch):
+    """Each more run of the ledger's joins sends their small sides through the driver again."""
+    seen, ledger = [], VW.ledger
+    monkeypatch.setattr(TO.RunningSums, "add", lambda self, changes, batch: seen.append(changes._jdf.queryExecution().optimizedPlan().toString()))
+    monkeypatch.setattr(TO.RunningSums, "sums", lambda self: None)
+    Q._running_sums(spark, sf_dir)
+    assert len(seen) == 10 and not any("Join" in plan for plan in seen)
+    assert "Join" in ledger(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
