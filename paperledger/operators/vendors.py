@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperledger.functions.values import fold_case, fold_shapes
 from paperledger.functions.vendors import SEED_VENDORS, _fold, learnable, word_distance
-from paperledger.plans.lineage import cut_lineage
+from paperledger.plans.lineage import cut_lineage, stored
 
 
 def newest_logged_vendors(ledger: DataFrame, user: str = "user_id", n: int | None = None) -> DataFrame:
@@ -54,10 +54,19 @@ def _variants(word: Column) -> Column:
 
 
 def _indexed(names: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per name, word position and variant of that word."""
-    return names.select(
-        "*", F.posexplode("words").alias("pos", "word")
-    ).select(*keys, "name", "words", "folded", "n", "pos", F.explode(_variants(F.col("word"))).alias("key"))
+    """One row per name and word position."""
+    return names.select(*keys, "name", "words", "folded", "n", F.posexplode("words").alias("pos", "word"))
+
+
+def _alike(asked: DataFrame, listed: DataFrame) -> DataFrame:
+    """``word, key``: the different words that were asked for, and the listed ones within one edit of them.
+
+    Such words share a form with at most one letter left out, so they meet by
+    equality on such forms.
+    """
+    forms = lambda words, name: words.select(F.col("word").alias(name)).distinct().select(name, F.explode(_variants(F.col(name))).alias("form"))
+    met = forms(asked, "word").join(forms(listed, "key"), "form")
+    return met.filter(F.levenshtein("word", "key", 1) >= 0).select("word", "key").distinct()
 
 
 def resolve_vendors(
@@ -65,10 +74,10 @@ def resolve_vendors(
 ) -> DataFrame:
     """Add the one known vendor nearest to ``name``, or null.
 
-    Two words within one edit of each other share a form with at most one letter
-    left out, so names meet by equality on such forms. A name is looked up by
-    the word position whose forms are rarest among the known names: any position
-    finds every match, and a common first word then costs nothing. With
+    The different words of both sides are compared first; names then meet by
+    equality on the known words within one edit of their own. A name is looked up
+    by the word position whose known words are rarest among the known names: any
+    position finds every match, and a common first word then costs nothing. With
     ``scope``, known names whose scope is null belong to everyone: they are
     matched once for all scopes and ranked together with a scope's own names.
     """
@@ -108,9 +117,11 @@ def resolve_vendors(
 def _near(asked: DataFrame, listed: DataFrame, keys: list[str]) -> DataFrame:
     """``name, vendor, d`` (and the keys) of the pairs within one edit in each word."""
     on = [*keys, "n", "pos", "key"]
-    asked_forms = _indexed(asked, keys)
-    listed_forms = _indexed(listed, keys)
-    frequency = listed_forms.groupBy(*on).agg(F.count("*").alias("hits"))
+    asked_words, listed_words = _indexed(asked, keys), _indexed(listed, keys).withColumnRenamed("word", "key")
+    alike = stored(_alike(asked_words, listed_words.withColumnRenamed("key", "word")))
+    asked_forms = asked_words.join(alike, "word", "left").drop("word")
+    listed_words = listed_words.join(alike.select("key").distinct(), "key", "left_semi")
+    frequency = listed_words.groupBy(*on).agg(F.count("*").alias("hits"))
     # Cheapest position per asked name; a position without hits rules it out.
     costs = (
         asked_forms.join(frequency, on, "left")
@@ -121,8 +132,8 @@ def _near(asked: DataFrame, listed: DataFrame, keys: list[str]) -> DataFrame:
         .filter("best.cost > 0")
         .select(*keys, "name", F.col("best.pos").alias("pos"))
     )
-    lookup = asked_forms.join(costs, [*keys, "name", "pos"])
-    right = listed_forms.select(*on, F.col("name").alias("vendor"), F.col("words").alias("known_words"), F.col("folded").alias("known_folded"))
+    lookup = asked_forms.join(costs.hint("merge"), [*keys, "name", "pos"])  # as many rows as names, which packed look small enough to broadcast
+    right = listed_words.select(*on, F.col("name").alias("vendor"), F.col("words").alias("known_words"), F.col("folded").alias("known_folded"))
     matched = (
         lookup.join(right, on)
         .filter(F.col("folded") != F.col("known_folded"))

@@ -13,6 +13,7 @@ from paperledger.functions import values as V
 from paperledger.operators import lookup as LO
 from paperledger.operators import reports as R
 from paperledger.operators import totals as TO
+from paperledger.operators import vendors as N
 from paperledger.plans import queries as Q
 from paperledger.plans import views as VW
 from paperledger.sources import readers
@@ -97,3 +98,13 @@ def test_the_running_sums_join_the_ledger_once(spark, sf_dir, monkeypatch):
     Q._running_sums(spark, sf_dir)
     assert len(seen) == 10 and not any("Join" in plan for plan in seen)
     assert "Join" in ledger(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_known_vendors_are_one_row_per_word(spark):
+    """Names meet by whole words; only the different words are spread into their forms."""
+    names = spark.createDataFrame([(1, "HARBOUR MILLS")], "user_id int, name string").withColumns({"folded": F.col("name"), "words": F.split("name", " "), "n": F.lit(2)})
+    assert N._indexed(names, ["user_id"]).count() == 2
+    known = spark.createDataFrame([(1, "Harbour Mills"), (1, "Old Rent"), (2, "Harbour Mill")], "user_id int, vendor string")
+    asked = spark.createDataFrame([(1, "HARBOR MILLS"), (1, "HARBOUR TOOLS"), (2, "HARBOR MILLS"), (3, "HARBOR MILLS")], "user_id int, name string")
+    got = {tuple(r) for r in N.resolve_vendors(asked, "name", known, scope="user_id").collect()}
+    assert got == {(1, "HARBOR MILLS", "Harbour Mills"), (1, "HARBOUR TOOLS", None), (2, "HARBOR MILLS", "Harbour Mill"), (3, "HARBOR MILLS", None)}
