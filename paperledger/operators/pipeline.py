@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paperledger.config import DEFAULTS, Settings
 from paperledger.operators.extract import extract_bills
 from paperledger.operators.ledger import enrich_with_business, settings_as_of
+from paperledger.plans.lineage import cut_lineage
 from paperledger.streaming import jobs
 
 
@@ -89,7 +90,10 @@ def fold_steps(steps: DataFrame) -> DataFrame:
 
 def ledger_from_messages(messages: DataFrame, users: DataFrame, businesses: DataFrame, settings: Settings = DEFAULTS, changes: DataFrame | None = None, **answers: Column) -> DataFrame:
     """Ledger rows of a message table; ``changes`` as in ``read_photos``."""
-    return fold_steps(jobs.replay(read_photos(messages, users, businesses, settings, changes, **answers), settings, users=users))
+    # A message is dear to read, so messages are dealt out first, and read once for the first contacts and the drafts.
+    dealt = messages.repartition("user_phone", "wa_message_id")
+    read = cut_lineage(read_photos(dealt, users, businesses, settings, changes, **answers))
+    return fold_steps(jobs.replay(read, settings, users=users))
 
 
 def steps_from_stream(messages: DataFrame, users: DataFrame, businesses: DataFrame, settings: Settings = DEFAULTS, lateness: str = "10 minutes", changes: DataFrame | None = None, **answers: Column) -> DataFrame:

@@ -11,6 +11,7 @@ import __spark_entry__ as entry
 from paperledger.functions import text as X
 from paperledger.functions import values as V
 from paperledger.operators import lookup as LO
+from paperledger.operators import pipeline as P
 from paperledger.operators import reports as R
 from paperledger.operators import totals as TO
 from paperledger.operators import vendors as N
@@ -108,3 +109,17 @@ def test_known_vendors_are_one_row_per_word(spark):
     asked = spark.createDataFrame([(1, "HARBOR MILLS"), (1, "HARBOUR TOOLS"), (2, "HARBOR MILLS"), (3, "HARBOR MILLS")], "user_id int, name string")
     got = {tuple(r) for r in N.resolve_vendors(asked, "name", known, scope="user_id").collect()}
     assert got == {(1, "HARBOR MILLS", "Harbour Mills"), (1, "HARBOUR TOOLS", None), (2, "HARBOR MILLS", "Harbour Mill"), (3, "HARBOR MILLS", None)}
+
+
+def test_messages_are_read_once(spark, monkeypatch):
+    """The first contacts and the drafts both need the readings; the rules must not run for each."""
+    seen, replay = [], P.jobs.replay
+    monkeypatch.setattr(P.jobs, "replay", lambda read, *a, **b: seen.append(read) or replay(read, *a, **b))
+    columns = "user_phone string, wa_message_id string, wa_received_at timestamp, kind string, text string, ocr_text string, image_urls array<string>, answer string"
+    answer = '{"amount": 45.5, "date": "01/01/2024", "vendor": "Shop", "gst_basis": "none", "confidence": "high"}'
+    messages = spark.createDataFrame([("u", "m", T0, "photo", None, None, ["a"], answer)], columns)
+    users = spark.createDataFrame([("u", 1)], "user_phone string, business_id long")
+    businesses = spark.createDataFrame([(1, True, True, "Australia/Perth")], "business_id long, gst_registered boolean, auto_save boolean, timezone string")
+    assert [float(r["amount"]) for r in P.ledger_from_messages(messages, users, businesses, image_answer=F.col("answer")).collect()] == [45.5]
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
