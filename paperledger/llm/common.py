@@ -65,6 +65,18 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str = "rows") -> DataFrame:
+    """``df`` as Parquet files in the shared folder; its lineage ends there.
+
+    For jobs of many short steps: the last stage runs once (a checkpoint also
+    counts it), and small files are read by few tasks, so the shuffles that
+    follow have few parts.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bitmap(slots: DataFrame, bits: int) -> Column:
     """The set slots (0 to ``bits`` - 1) as one array of 64-bit words, a scalar subquery of fixed size."""
     words = slots.groupBy(F.expr("slot div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperledger.llm.common import written
+from paperledger.llm.common import stored
 
 
 def _sorted_pairs(df: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def components(links: DataFrame) -> DataFrame:
     Ends when a round changes nothing; the number of rounds grows with the
     logarithm of the nodes.
     """
-    stars = written(_sorted_pairs(links))
+    stars = stored(_sorted_pairs(links))
     state = None
     while True:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -30,7 +30,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = written(_sorted_pairs(small.unionByName(lowest.select("u", F.col("m").alias("v")))))
+        stars = stored(_sorted_pairs(small.unionByName(lowest.select("u", F.col("m").alias("v")))))
         now = stars.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).head()
         if now == state:
             return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperledger.llm import near
+from paperledger.llm.components import components
 from tests.llm.conftest import clashing
 
 
@@ -107,3 +108,17 @@ def test_exact_thresholds_meet(spark):
     found = {tuple(r) for r in near._by_rarest(sets, docs.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("root")), 0.8).collect()}
     close = {(b, a) for (a, x), (b, y) in itertools.combinations(rows, 2) if brute_likeness(x, y) >= 0.8}
     assert len(close) > 40 and close <= found
+
+
+def test_small_tables_of_the_steps_are_read_by_few_tasks(spark):
+    """A round over few links must not cost as many files as there are shuffle partitions."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        roots = components(spark.createDataFrame([(k + 1, k) for k in range(40)], "u long, v long"))
+        assert sorted(map(tuple, roots.collect())) == [(k, 0) for k in range(1, 41)]
+        assert roots.rdd.getNumPartitions() <= 40
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
