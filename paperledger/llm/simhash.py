@@ -37,9 +37,21 @@ def simhash(data: bytes | None, shingle: int = SHINGLE) -> int:
     ones = np.zeros(64, np.int64)
     for k in range(0, len(starts), 1 << 16):
         spans = zip(starts[k : k + (1 << 16)].tolist(), ends[k : k + (1 << 16)].tolist())
-        hashes = np.fromiter((digest(body[a:b], SEED) for a, b in spans), np.uint64)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(starts), bitorder="little").view("<u8")[0])
+        ones += _ones(np.fromiter((digest(body[a:b], SEED) for a, b in spans), np.uint64))
+    return _print(ones, len(starts))
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _print(ones: np.ndarray, n: int) -> int:
+    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles that are hashed already."""
+    return _print(sum((_ones(hashes[k : k + (1 << 16)]) for k in range(0, len(hashes), 1 << 16)), np.zeros(64, np.int64)), len(hashes))
 
 
 @F.pandas_udf(T.LongType())
@@ -52,7 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), _simhash_column(F.col(text_col).cast("binary")).alias("fingerprint"))
 
 
-def trie_join(left: np.ndarray, right: np.ndarray, top: int, budget: int, same: bool):
+def trie_join(left: np.ndarray, right: np.ndarray, top: int, budget: int, same: bool, width: int = 64, head: int | None = None):
     """Blocks of index pairs whose fingerprints differ in at most ``budget`` bits.
 
     ``left`` and ``right`` are sorted, each below one node ``top`` bits deep; a
@@ -60,12 +72,14 @@ def trie_join(left: np.ndarray, right: np.ndarray, top: int, budget: int, same:
     paired, a pair of unlike children has one more error, and a pair beyond
     the budget or with an empty side ends. ``same``: both are one trie, so a
     pair of children is walked in one order only. The stack holds blocks of
-    limited size, so memory doesn't grow with the number of pairs.
+    limited size, so memory doesn't grow with the number of pairs. ``head`` is
+    the budget of the first ``width`` bits, where it is a smaller one.
     """
+    head = budget if head is None else head
     if not (len(left) and len(right)):
         return
     errors = int(np.bitwise_count((left[0] ^ right[0]) >> np.uint64(64 - top))) if top else 0
-    if errors > budget:
+    if errors > (head if top <= width else budget):
         return
     zeros: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -93,7 +107,7 @@ def trie_join(left: np.ndarray, right: np.ndarray, top: int, budget: int, same:
         m, n = a + zl[b] - zl[a], c + zr[d] - zr[c]
         own = (a == c) & (b == d) if same else np.zeros(len(pairs), bool)
         down = np.concatenate([np.stack(x, 1) for x in ((a, m, c, n, e), (m, b, n, d, e), (a, m, n, d, e + 1), tuple(y[~own] for y in (m, b, c, n, e + 1)))])
-        stack.append((depth + 1, down[(down[:, 0] < down[:, 1]) & (down[:, 2] < down[:, 3]) & (down[:, 4] <= budget)]))
+        stack.append((depth + 1, down[(down[:, 0] < down[:, 1]) & (down[:, 2] < down[:, 3]) & (down[:, 4] <= (head if depth < width else budget))]))
 
 
 def _leaf_pairs(left, right, pairs, sizes, budget, same):
@@ -108,54 +122,68 @@ def _leaf_pairs(left, right, pairs, sizes, budget, same):
 
 
 class Forest:
-    """Union-find that keeps only the links which join two trees."""
+    """Union-find that keeps only the given links which join two trees."""
 
     def __init__(self, n: int):
         self.parent, self.links = np.arange(n), []
 
     def add(self, i: np.ndarray, j: np.ndarray) -> None:
         a, b = self.parent[i], self.parent[j]  # roots, as the array is flattened after each call
-        for x, y in set(zip(a[a != b].tolist(), b[a != b].tolist())):
+        apart = np.flatnonzero(a != b)
+        firsts = apart[np.sort(np.unique(a[apart] * len(self.parent) + b[apart], return_index=True)[1])]
+        for x, y, u, v in zip(a[firsts].tolist(), b[firsts].tolist(), i[firsts].tolist(), j[firsts].tolist()):
             while self.parent[x] != x:
                 x = int(self.parent[x])
             while self.parent[y] != y:
                 y = int(self.parent[y])
             if x != y:
-                self.links.append((x, y))
+                self.links.append((u, v))
                 self.parent[max(x, y)] = min(x, y)
         while (flat := self.parent[self.parent]) is not None and (flat != self.parent).any():
             self.parent = flat
 
 
-def near_links(prints: DataFrame, budget: int = BUDGET, node_rows: int = NODE_ROWS) -> DataFrame:
+def near_links(prints: DataFrame, budget: int = BUDGET, node_rows: int = NODE_ROWS, blocks: int = 1) -> DataFrame:
     """``u, v``: links between representatives of fingerprints (``fingerprint, rep``, each print once) that join all near ones.
 
     The top of the trie is spread over tasks: a top node is a prefix so long
     that a node holds about ``node_rows`` prints, and a task walks one pair of
     top nodes whose prefixes differ within the budget. A task returns a
-    spanning forest of the links it finds, so at most as many as it has prints.
+    spanning forest of the links it finds, the nearest of a block first, so at
+    most as many as it has prints; each is a near pair itself.
+
+    For a wide budget, the print is cut into ``blocks``, of which one has at
+    most ``budget // blocks`` of the errors. There is a trie for each block,
+    of the prints turned until that block leads; it takes a pair down the
+    block with that smaller budget, and further down with the whole one.
     """
-    top = min(MAX_TOP_BITS, max(0, math.ceil(math.log2(max(1, prints.count()) / node_rows))))
-    flips = [0] + [sum(1 << b for b in bits) for n in range(1, min(budget, top) + 1) for bits in _choices(top, n)]
+    width, head = 64 // blocks, budget // blocks
+    top = min(MAX_TOP_BITS, width, max(0, math.ceil(math.log2(max(1, prints.count()) / node_rows))))
+    flips = [0] + [sum(1 << b for b in bits) for n in range(1, min(head, top) + 1) for bits in _choices(top, n)]
+    turned = [F.shiftleft("fingerprint", k * width).bitwiseOR(F.shiftrightunsigned("fingerprint", 64 - k * width)) if k else F.col("fingerprint") for k in range(blocks)]
+    dealt = prints.select("rep", F.posexplode(F.array(*turned)).alias("block", "fingerprint")) if blocks > 1 else prints.withColumn("block", F.lit(0))
     prefix = F.shiftrightunsigned("fingerprint", 64 - top) if top else F.lit(0).cast("long")
-    placed = prints.withColumn("prefix", prefix).withColumn("flip", F.explode(F.array(*[F.lit(x).cast("long") for x in flips])))
+    placed = dealt.withColumn("prefix", prefix).withColumn("flip", F.explode(F.array(*[F.lit(x).cast("long") for x in flips])))
     other = F.col("prefix").bitwiseXOR(F.col("flip"))
     low, high = F.least("prefix", other), F.greatest("prefix", other)
-    placed = placed.select("fingerprint", "rep", "prefix", low.alias("low"), high.alias("high"))
+    placed = placed.select("fingerprint", "rep", "block", low.alias("low"), high.alias("high"))
 
     def walk(key, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.assign(print=rows["fingerprint"].to_numpy(np.int64).view(np.uint64)).sort_values("print")
-        prints_, reps, side = rows["print"].to_numpy(), rows["rep"].to_numpy(), rows["prefix"].to_numpy()
-        same = key[0] == key[1]
-        li = np.flatnonzero(side == key[0])
-        ri = li if same else np.flatnonzero(side == key[1])
+        prints_, reps = rows["print"].to_numpy(), rows["rep"].to_numpy()
+        side = prints_ >> np.uint64(64 - top) if top else np.zeros(len(prints_), np.uint64)
+        _, low, high = key
+        same = low == high
+        li = np.flatnonzero(side == np.uint64(low))
+        ri = li if same else np.flatnonzero(side == np.uint64(high))
         forest = Forest(len(rows))
-        for i, j in trie_join(prints_[li], prints_[ri], top, budget, same):
-            forest.add(li[i], ri[j])
+        for i, j in trie_join(prints_[li], prints_[ri], top, budget, same, width, head):
+            nearest = np.argsort(np.bitwise_count(prints_[li[i]] ^ prints_[ri[j]]), kind="stable")
+            forest.add(li[i[nearest]], ri[j[nearest]])
         found = np.array(forest.links, np.int64).reshape(-1, 2)
         return pd.DataFrame({"u": reps[found[:, 0]], "v": reps[found[:, 1]]})
 
-    return placed.groupBy("low", "high").applyInPandas(walk, "u long, v long")
+    return placed.groupBy("block", "low", "high").applyInPandas(walk, "u long, v long")
 
 
 def _choices(n: int, k: int):

@@ -3,11 +3,13 @@ import itertools
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from paperledger.llm import near
 from paperledger.llm.components import components
+from paperledger.llm.simhash import near_links, print_of
 from tests.llm.conftest import clashing
 
 
@@ -122,3 +124,45 @@ def test_small_tables_of_the_steps_are_read_by_few_tasks(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def joined(links, nodes):
+    """The smallest node that each node reaches."""
+    root = {n: n for n in nodes}
+
+    def top(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for u, v in links:
+        low, high = sorted((top(u), top(v)))
+        root[high] = low
+    return {n: top(n) for n in nodes}
+
+
+@pytest.mark.parametrize("node_rows", [8, 1 << 15])
+def test_tries_of_blocks_join_all_prints_within_a_wide_budget(spark, node_rows):
+    rng, prints = random.Random(5), []
+    for _ in range(60):
+        prints.append(rng.getrandbits(64))
+        for bits in (3, 8, 11, 12, 14):
+            prints.append(prints[-1] ^ sum(1 << b for b in rng.sample(range(64), bits)))
+    rows = [(p - (1 << 64) if p >> 63 else p, k) for k, p in enumerate(prints)]
+    found = [tuple(r) for r in near_links(spark.createDataFrame(rows, "fingerprint long, rep long"), 11, node_rows, 4).collect()]
+    near_pairs = [(a, b) for a, b in itertools.combinations(range(len(prints)), 2) if (prints[a] ^ prints[b]).bit_count() <= 11]
+    assert all((prints[u] ^ prints[v]).bit_count() <= 11 for u, v in found)
+    assert joined(found, range(len(prints))) == joined(near_pairs, range(len(prints)))
+
+
+def test_near_copies_meet_in_the_tries(spark, edited):
+    """The stage's candidates are those of the tries of operator 6: near texts whose prints differ in 3 to 11 bits too."""
+    prints = {d: print_of(near.shingles(near.words_of(x.encode()))) for d, x in edited}
+    texts = dict(edited)
+    rows = [(d, int(np.uint64(p).astype(np.int64))) for d, p in prints.items()]
+    tried = [tuple(r) for r in near.by_tries(spark.createDataFrame(rows, "rep long, print long"), node_rows=64).collect()]
+    root = joined(tried, prints)
+    pairs = [(a, b, (prints[a] ^ prints[b]).bit_count()) for a, b in itertools.combinations(sorted(texts), 2) if brute_likeness(texts[a], texts[b]) >= 0.8]
+    within = [(a, b) for a, b, bits in pairs if bits <= 11]
+    assert all(root[a] == root[b] for a, b in within) and len(within) > 0.7 * len(pairs)
+    assert sum(2 < bits <= 11 for _, _, bits in pairs) > 20
