@@ -152,3 +152,18 @@ def test_search_equals_a_scan(spark):
         if hits:
             want[request] = [k for _, k in sorted(hits, reverse=True)[:5]]
     assert got == want and len(want) > 20
+
+
+def test_requests_find_amounts_parts_and_month_numbers(spark):
+    rows = [(1, "City Water", "utilities", "90.00", 8), (2, "Smith-Jones Pty", "Office Supplies", "1250.50", 7), (3, "Harbour Gas", "rent", "1250.50", 8), (4, "J&B 7-Eleven 90", None, None, 12), (5, None, "rent", "0.00", 2)]
+    made = [(i, 1, v, c, "logged", datetime(2025, m, 3), a and Decimal(a)) for i, v, c, a, m in rows]
+    index = LO.index_bills(spark.createDataFrame(made, "bill_id int, user_id int, vendor string, category string, status string, confirmed_at timestamp, amount decimal(18,2)"))
+    wanted = {
+        "$1,250.50": {2, 3}, "1250.5": {2, 3}, "find $1250.50 gas": {3}, "1,250": set(), "1250.501": set(), "90": {1, 4}, "$90.00": {1}, "0": {4, 5}, "rent, 1250.50": {3},
+        "wat": {1}, "harb": {3}, "rbou": {3}, "mith-jone": {2}, "smith-jones": {2}, "smith": {2}, "7-eleven": {4}, "j&b": {4}, "j b": {4}, "arbour as": {3},
+        "8": {1, 3}, "12": {4}, "2025-08": {1, 3}, "2025-0": set(), "office": {2}, "supplies office": {2}, "utilit": set(), "3,4": set(),
+    }
+    asks = list(wanted)
+    found = LO.search_requests(spark.createDataFrame(list(enumerate(asks)), "request_id int, text string").withColumn("user_id", F.lit(1)), index).collect()
+    assert {a: {r["bill_id"] for r in found if asks[r["request_id"]] == a} for a in asks} == wanted
+    assert sorted(r["rank"] for r in found if asks[r["request_id"]] == "8") == [1, 2]
