@@ -23,12 +23,13 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be found go: null texts, those without a letter, and those of which the model knows nothing.
+    """The language of every whole text, as found by a model of all labelled documents, becomes its ``lang``.
 
-    Without a labelled document to learn from, only the first two kinds go.
+    Documents in which none can be found go: null texts, those without a letter,
+    and those of which the model knows nothing. Without a labelled document to
+    learn from, only the first two kinds go.
     """
-    model = langid.fit(docs.where(~langid.held_out()))
-    return langid.known_language(docs, model)
+    return langid.known_language(docs, langid.fit(docs))
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,9 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Documents the model is fitted on, about (drawn by a hash of the text); words of a language and n-grams of
-#: each length that it keeps; times a word must be seen. They bound the model, which every task gets a copy of.
-TRAIN_DOCS, TOP_WORDS, TOP_GRAMS, MIN_COUNT = 20_000, 20_000, 10_000, 2
+#: Documents the model is fitted on, about (drawn by a hash of the text), and of each language at least, or all it has;
+#: words of a language and n-grams of each length that it keeps; times a word must be seen. They bound the model, which every task gets a copy of.
+TRAIN_DOCS, LEAST_DOCS, TOP_WORDS, TOP_GRAMS, MIN_COUNT = 20_000, 1_000, 20_000, 10_000, 2
 #: Lengths of the n-grams an unseen word falls back to, longest first.
 LENGTHS = (5, 4, 3, 2, 1)
 #: Unseen words whose scores a worker remembers.
@@ -64,16 +64,22 @@ class Model:
         self.langs, self.tables, self.scores = langs, tables, scores
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, top_words: int = TOP_WORDS, top_grams: int = TOP_GRAMS) -> Model:
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, top_words: int = TOP_WORDS, top_grams: int = TOP_GRAMS, least_docs: int = LEAST_DOCS) -> Model:
     """A model from the rows with text and language. Without any, it knows no language.
 
     About ``train_docs`` rows are drawn by a hash of their text, whole texts
-    each. Counting is distributed; what comes to the driver is the model,
-    bounded by ``top_words`` and ``top_grams`` for each language.
+    each; a language that would get fewer than ``least_docs`` of them gets about
+    as many, or all its rows. Counting is distributed; what comes to the driver
+    is the model, bounded by ``top_words`` and ``top_grams`` for each language.
     """
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    share = min(1.0, train_docs / max(1, rows.count()))
-    rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    share = min(1.0, train_docs / max(1, sum(sizes.values())))
+    rare = [(F.lit(lang), F.lit(int(min(1.0, least_docs / size) * 1_000_000))) for lang, size in sizes.items() if share * size < min(least_docs, size)]
+    drawn = F.lit(int(share * 1_000_000))
+    if rare:
+        drawn = F.coalesce(F.try_element_at(F.create_map(*(x for pair in rare for x in pair)), F.col("lang")), drawn)
+    rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < drawn)
     ranked = count_grams(rows).where(F.col("count") >= MIN_COUNT)
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("count"), "gram")))
     table = ranked.where(F.col("rank") <= F.when(F.col("n") == 0, top_words).otherwise(top_grams)).select("lang", "n", "gram", "count").toPandas()
@@ -162,20 +168,30 @@ def evident(text: str | None, model: Model) -> bool:
     """Whether the model knows a word of the text, or an n-gram of one that is more than the mark of a word's end."""
     known = model.tables
     return text is not None and any(
-        word in known[0] or any(gram in known[n] for n in LENGTHS for gram in grams_of(word, n) if gram not in "<>") for word in words_of(text)
+        word in known[0] or any(gram in known[n] for n in LENGTHS for gram in grams_of(word, n) if gram not in "<>") for word in map(re.Match.group, _RUNS.finditer(text.lower()))
     )
 
 
-def known_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which a language is found: with a letter, and a word or n-gram that the model knows.
+def known_language(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` in which a language is found, with that language: with a letter, and a word or n-gram that the model knows.
 
-    If the model knows no language, only null and letterless texts go.
+    The language is the best of the whole text, whatever the row said before.
+    If the model knows no language, only null and letterless texts go and
+    ``lang_col`` stays as it is.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @F.pandas_udf("string")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(shared.value)
+        for texts in batches:
+            yield pd.Series([scorer.predict(text)[0] if has_letter(text) and evident(text, scorer.model) else None for text in texts], dtype=object)
+
     @F.pandas_udf("boolean")
-    def found(texts: pd.Series) -> pd.Series:
-        model = shared.value
-        return pd.Series([has_letter(text) and (not model.langs or evident(text, model)) for text in texts], dtype=bool)
+    def lettered(texts: pd.Series) -> pd.Series:
+        return pd.Series([has_letter(text) for text in texts], dtype=bool)
 
-    return docs.where(found(F.col(text_col)))
+    if not model.langs:
+        return docs.where(lettered(F.col(text_col)))
+    # Not to be moved: a filter on the result would have every text scored twice.
+    return docs.withColumn(lang_col, found.asNondeterministic()(F.col(text_col))).where(F.col(lang_col).isNotNull())
